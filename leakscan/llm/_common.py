@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 M64 = (1 << 64) - 1
 
@@ -33,6 +34,11 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def id_and(docs: DataFrame, ddl: str, *names: str) -> T.StructType:
+    """The schema of ``docs``' doc_id (or the columns named), followed by the fields of ``ddl``."""
+    return T.StructType([*docs.select(*(names or ("doc_id",))).schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
