@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,35 +28,51 @@ from pyspark.sql import functions as F
 from ._common import durable, id_and
 
 END = b"\0\0\0\0"
-#: Encoded words a worker keeps; beyond it the store starts anew.
-WORDS_KEPT = 300_000
+#: Encoded words a worker keeps in each of two generations: what the older one has and is met again moves to the newer.
+WORDS_KEPT = 400_000
+#: Lower-case Latin letters without marks that could combine, and ASCII punctuation that starts no contraction.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
     """Exact ids of whole texts by way of their words.
 
-    The tokenizer drops white space and never joins what stands on two sides of it, so a text's ids are those of its
-    parts between ASCII white space, one after the other; each distinct part is encoded once by the tokenizer."""
+    The tokenizer drops white space, lower-cases, and never joins letters with punctuation nor what stands on two sides
+    of white space. So a text's ids are those of its parts between ASCII white space, one after the other, and those of
+    a word of plain letters before punctuation are the word's and the punctuation's. Each distinct part is encoded once
+    by the tokenizer. Texts that may hold a special token's name are not lower-cased first."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.older = {}, self.known
+        new, ends = [w for w in words if w not in self.known], {}
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        new = {w for w in new if w not in self.known}
+        for w in new:
+            core = w.rstrip(PUNCTUATION)
+            if len(core) < len(w) and LETTERS(core):
+                ends[w] = core, w[len(core) :]
+        whole = [w for w in (new - set(ends)).union(*ends.values()) if w not in self.known]
+        for k in range(0, len(whole), 10_000):
+            part = whole[k : k + 10_000]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
+        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in ends.items())
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         for at in range(0, len(texts), 256):
-            words = [t.split() for t in texts[at : at + 256]]
-            if len(self.known) > WORDS_KEPT:
-                self.known = {}
-            new = list(set().union(*words) - self.known.keys())
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+            words = [(t if b"<|" in t else t.lower()).split() for t in texts[at : at + 256]]
+            self._learn(set().union(*words))
             get = self.known.__getitem__
-            yield from (b"".join(map(get, w)) for w in words)
+            yield from [b"".join(map(get, w)) for w in words]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:

@@ -16,6 +16,7 @@ import hashlib
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from ._common import id_and
 
 MARK = "▁"
 #: Encoded parts a worker keeps; beyond it the store starts anew.
-PARTS_KEPT = 300_000
+PARTS_KEPT = 500_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -89,9 +90,12 @@ class UnigramPieces:
         self.ids = [i for i, k in enumerate(kinds) if k == "piece"]
         self.trie = DoubleArray([pieces[i].encode() for i in self.ids])
         self.unknown = min((scores[i] for i in self.ids), default=0.0) - UNKNOWN_PENALTY
+        text = "".join(pieces[i] for i in self.ids)
+        lone = "".join(c for c in "\n\t\r" if c not in text)  # no piece has them, so a path always stops on both sides
         splits = not any(MARK in p.lstrip(MARK) for p in (pieces[i] for i in self.ids))
-        self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if splits else "(?s).+").findall
-        self.known: dict[str, tuple[tuple[int, ...], float]] = {}
+        self.parts = re.compile((f"[{lone}]|" if lone else "") + f"{MARK}*[^{MARK}{lone}]+|{MARK}+" if splits else "(?s).+").findall
+        self.known: dict[str, bytes] = {}
+        self.cost: dict[str, float] = {}
 
     def best(self, text: str) -> tuple[tuple[int, ...], float]:
         """Ids and summed score of the best path through ``text`` (already normalised)."""
@@ -123,21 +127,21 @@ class UnigramPieces:
             j = i
         return tuple(reversed(out)), score[n]
 
-    def encode(self, text: str) -> tuple[list[int], float]:
+    def encode_packed(self, text: str) -> tuple[bytes, float]:
+        """Ids as little-endian unsigned 32-bit numbers, and the summed score."""
         if not text:
-            return [], 0.0
-        out, total = [], 0.0
+            return b"", 0.0
         if len(self.known) > PARTS_KEPT:
-            self.known = {}
-        for part in self.parts(MARK + text.replace(" ", MARK)):
-            found = self.known.get(part)
-            if found is None:
-                found = self.best(part)
-                if len(part) <= 64:
-                    self.known[part] = found
-            out += found[0]
-            total += found[1]
-        return out, total
+            self.known, self.cost = {}, {}
+        parts = self.parts(MARK + text.replace(" ", MARK))
+        for part in {p for p in parts if p not in self.known}:
+            ids, self.cost[part] = self.best(part)
+            self.known[part] = array("I", ids).tobytes()
+        return b"".join(map(self.known.__getitem__, parts)), math.fsum(map(self.cost.__getitem__, parts))
+
+    def encode(self, text: str) -> tuple[list[int], float]:
+        packed, score = self.encode_packed(text)
+        return array("I", packed).tolist(), score
 
     def decode(self, ids: list[int]) -> str:
         parts, run = [], bytearray()
@@ -199,9 +203,10 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
             rows = []
             for text in b.column(1).to_pylist():
                 text = text or ""
-                ids, score = model.encode(text)
-                back, packed = model.decode(ids), np.array(ids, "<u4")
-                rows.append((len(text.encode()), len(ids), int(bytes_[packed].sum()), score, zlib.crc32(packed.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text))
+                packed, score = model.encode_packed(text)
+                ids = np.frombuffer(packed, "<u4")
+                back = model.decode(ids.tolist())
+                rows.append((len(text.encode()), len(ids), int(bytes_[ids].sum()), score, zlib.crc32(packed), hashlib.sha256(back.encode()).hexdigest(), back == text))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds))], schema.names)
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(digests, schema)
