@@ -36,7 +36,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 def id_and(docs: DataFrame, ddl: str, *names: str) -> T.StructType:
     """The schema of ``docs``' doc_id (or the columns named), followed by the fields of ``ddl``."""
-    return T.StructType([*docs.select(*(names or ("doc_id",))).schema.fields, *T.StructType.fromDDL(ddl).fields])
+    return T.StructType([*docs.select(*(F.col(f"`{n}`") for n in names or ("doc_id",))).schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
 def text_or_empty(col: str = "text"):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, licenses, packing, pieces, quality, toxicity
+from . import jaccard, licenses, packing, pieces, quality, repeats, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_report(_read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), 400, with_text=False)
+    return found.select("doc_id", *(f"repeats.{n}" for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.learn_rules(quality.labelled_stats(docs, _read(spark, sf_dir, "labels")))
