@@ -29,19 +29,25 @@ from ._common import durable, id_and
 
 END = b"\0\0\0\0"
 #: Encoded words a worker keeps in each of two generations: what the older one has and is met again moves to the newer.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 #: Lower-case Latin letters without marks that could combine, and ASCII punctuation that starts no contraction.
-LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f\xa0-\xb6\xb8-\xbf])+").fullmatch
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: How byte-level vocabularies write bytes as characters: printable ones as themselves, the others from 256 up.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+AS_CHARACTER = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
+
+
 class WordEncoder:
     """Exact ids of whole texts by way of their words.
 
     The tokenizer drops white space, lower-cases, and never joins letters with punctuation nor what stands on two sides
     of white space. So a text's ids are those of its parts between ASCII white space, one after the other, and those of
     a word of plain letters before punctuation are the word's and the punctuation's. Each distinct part is encoded once
-    by the tokenizer. Texts that may hold a special token's name are not lower-cased first."""
+    by the tokenizer; a word of plain letters, which normalising and splitting leave alone, by its BPE model directly.
+    Texts that may hold a special token's name are not lower-cased first."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,6 +66,9 @@ class WordEncoder:
             if len(core) < len(w) and LETTERS(core):
                 ends[w] = core, w[len(core) :]
         whole = [w for w in (new - set(ends)).union(*ends.values()) if w not in self.known]
+        merge = self.tokenizer.model.tokenize
+        self.known.update((w, array("I", [t.id for t in merge(w.decode("latin-1").translate(AS_CHARACTER))]).tobytes()) for w in whole if LETTERS(w))
+        whole = [w for w in whole if w not in self.known]
         for k in range(0, len(whole), 10_000):
             part = whole[k : k + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
@@ -68,23 +77,33 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        for at in range(0, len(texts), 256):
-            words = [(t if b"<|" in t else t.lower()).split() for t in texts[at : at + 256]]
+        for at in range(0, len(texts), 1024):
+            words = [(t if b"<|" in t else t.lower()).split() for t in texts[at : at + 1024]]
             self._learn(set().union(*words))
             get = self.known.__getitem__
             yield from [b"".join(map(get, w)) for w in words]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder of that file, kept for its next tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank): rank counts the earlier pieces of that length in the task."""
     schema = id_and(docs, "piece int, start long, length long, ids_crc32 long, part int, rank long")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, part = WordEncoder(tokenizer_path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        words, seen, part = encoder(tokenizer_path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
             texts = [b"" if t is None else t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            for k, ids in enumerate(encoder.encode(texts)):
+            for k, ids in enumerate(words.encode(texts)):
                 ids += END
                 for p in range(0, len(ids) // 4, capacity):
                     chunk = ids[4 * p : 4 * (p + capacity)]
