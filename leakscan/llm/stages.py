@@ -3,16 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import jaccard, packing, quality, repeats, toxicity
+from .queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose score reaches the bound."""
+    docs = docs.select(*COLUMNS)
+    model = toxicity.train(toxicity.labelled_sample(docs, _labels(spark, sf_dir)))
+    return toxicity.score(docs, model, COLUMNS).where(F.col("score") < toxicity.BOUND).select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the learned decision list keeps."""
-    rules = quality.learn_rules(quality.labelled_stats(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.judge(docs.select(*COLUMNS), rules, into="__quality").where("__quality.kept").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    rules = quality.learn_rules(quality.labelled_stats(docs, _labels(spark, sf_dir)))
+    return quality.judge(docs, rules, into="__quality").where("__quality.kept").select(*COLUMNS)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each component; repeated rows of it and rows without id stay."""
+    docs = docs.select(*COLUMNS)
+    parts = jaccard.link_components(docs)
+    later = parts.where("doc_id <> component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(later, "doc_id", "left_anti")
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every byte of a 400-byte string that also starts elsewhere; all documents stay."""
+    cut = repeats.remove_repeats(docs.select(*COLUMNS), into="__repeats")
+    text = F.when(F.col("__repeats.n_removed") > 0, F.col("__repeats.kept_text")).otherwise(F.col("text"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), 2048)
 
 
-STAGES = [("quality rules", quality_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality_rules", quality_stage),
+    ("ngram_jaccard_join", jaccard_stage),
+    ("suffix_array_dedup", repeats_stage),
+    ("best_fit_packing", packing_stage),
+]
