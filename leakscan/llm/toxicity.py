@@ -81,8 +81,9 @@ class ConvNet:
         x = self.e[tokens // BUCKETS] + self.e[tokens % BUCKETS]
         return np.hstack([self._maxima(x, first, k)[0] for k in FILTERS]) @ self.out + self.bias
 
-    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.05, batch: int = 64, seed: int = 11) -> ConvNet:
-        """Adam on the logistic loss; both classes weigh the same."""
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.05, batch: int = 64, seed: int = 11, steps: int = 400) -> ConvNet:
+        """Adam on the logistic loss, ``steps`` of them at least; both classes weigh the same."""
+        epochs = max(epochs, -(-steps * batch // max(len(texts), 1)))
         rng, slots, step = np.random.default_rng(seed), {}, 0
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
         self.where = True
