@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, licenses, packing, pieces, quality, repeats, sharding, spotsigs, toxicity
+from . import ctw, jaccard, licenses, packing, pieces, quality, repeats, sharding, spotsigs, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op4_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"), 16)
 
 
+def op5_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(_read(spark, sf_dir, "documents"), toxicity.remainder(10) == 0)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(_read(spark, sf_dir, "documents"))
 
