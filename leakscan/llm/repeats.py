@@ -7,7 +7,7 @@ settled by an aggregate. Of the others one of each kind goes to its anchor's gro
 group's windows is built and scanned with a stack: each interval of common prefixes of ``least`` bytes or more whose
 left extensions differ is a maximal repeat, and all its occurrences are covered. Groups with more than ``GROUP``
 different segments (ends of a passage that very many documents share) are split by window: equal windows are counted by
-hash, which finds the same repeats.
+hash, which finds the same repeats. What goes back to the documents is the complement: the runs of windows met once.
 
 Anchors and segments are compared by 64-bit hashes, windows in suffix arrays by their bytes.
 
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BYTE_CODE, durable, id_and, mix64, powers, slices, text_buffers
+from ._common import BYTE_CODE, durable, id_and, mix64, partitions_for, powers, text_buffers
 
 LEAST = 400
 GRAM = 16
@@ -82,22 +82,23 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def text_segments(docs: DataFrame, least: int) -> DataFrame:
-    """(k, first, windows, anchor, segment) of each keyed text."""
+    """(anchor, segment, n, k, first, windows): the different segments of a batch of keyed texts, how often the batch has
+    each, and where one of them is."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_buffers(b.column(1))
-            keys = b.column(0).to_numpy()
-            for a, z in slices(offsets, 1 << 22):
-                out = []
-                for k in range(a, z):
-                    if offsets[k + 1] - offsets[k] >= least:
-                        anchor, first, count, whole = segments(data[offsets[k] : offsets[k + 1]], least)
-                        out.append((np.full(len(first), keys[k]), first, count, anchor.view(np.int64), whole.view(np.int64)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["k", "first", "windows", "anchor", "segment"])
+            keys, out = b.column(0).to_numpy(), []
+            for k in range(b.num_rows):
+                if offsets[k + 1] - offsets[k] >= least:
+                    anchor, first, count, whole = segments(data[offsets[k] : offsets[k + 1]], least)
+                    out.append((anchor.view(np.int64), whole.view(np.int64), np.full(len(first), keys[k]), first, count))
+            if out:
+                anchor, whole, key, first, count = (np.concatenate(c) for c in zip(*out))
+                whole, at, n = np.unique(whole, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor[at], whole, n, key[at], first[at], count[at])], ["anchor", "segment", "n", "k", "first", "windows"])
 
-    return docs.select("__k", F.col("text").cast("string")).mapInArrow(rows, "k long, first long, windows long, anchor long, segment long")
+    return docs.select("__k", F.col("text").cast("string")).mapInArrow(rows, "anchor long, segment long, n long, k long, first long, windows long")
 
 
 def suffix_array(texts: list[bytes], starts: list[int]) -> list[tuple[int, int]]:
@@ -147,98 +148,108 @@ def maximal_repeats(texts: list[bytes], starts: list[int], least: int) -> list[t
     return found
 
 
-def _group_repeats(least: int):
-    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; the last anchor of a batch may go on in the next."""
-
-        def settle(rows: list[tuple]) -> list[tuple]:
-            rows = list({r[1]: r for r in rows}.values())  # a repeated row of the input gives its segments twice
-            texts, starts = [r[2] for r in rows], [len(r[2]) - least + 1 for r in rows]
-            return [(rows[t][0], rows[t][1], i, i + length) for length, at in maximal_repeats(texts, starts, least) for t, i in at]
-
+def _group_unique(least: int):
+    """For rows (anchor, segment, n, k, first, bytes) sorted by anchor: runs (k, begin, end) of windows that no other
+    segment of the anchor and no other place of the same segment has."""
+
+    def settle(rows: list[tuple]) -> list[tuple]:
+        rows = list({r[1]: r for r in rows}.values())  # a repeated row of the input gives its segments twice
+        texts, starts = [r[5] for r in rows], [len(r[5]) - least + 1 for r in rows]
+        alone = [np.ones(n, bool) for n in starts]
+        for length, at in maximal_repeats(texts, starts, least):
+            for t, i in at:
+                alone[t][i : i + length - least + 1] = False
+        out = []
+        for r, free in zip(rows, alone):
+            if r[2] == 1:
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
+                out += [(r[3], r[4] + int(a), r[4] + int(z)) for a, z in zip(edge[::2], edge[1::2])]
+        return out
+
+    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
             out = []
-            for r in zip(*(b.column(c).to_pylist() for c in range(3))):
+            for r in zip(*(c.to_pylist() for c in b.columns)):
                 if held and held[0][0] != r[0]:
                     out += settle(held)
                     held = []
                 held.append(r)
             if out:
-                yield _spans(out)
+                yield _runs(out)
         if held and (out := settle(held)):
-            yield _spans(out)
+            yield _runs(out)
 
-    return covered
+    return unique
 
 
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["anchor", "segment", "begin", "end"])
+def _runs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["k", "begin", "end"])
 
 
-def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of sorted spans; spans that touch are one."""
-    if not len(begin):
-        return begin, end
-    reach = np.maximum.accumulate(end)
-    new = np.concatenate([[True], begin[1:] > reach[:-1]])
-    return begin[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(begin) - 1)]
+def covered_bytes(size: int, alone: list[tuple[int, int]], least: int) -> tuple[list[int], list[int]]:
+    """Maximal runs of bytes under windows outside the sorted runs ``alone``; runs that touch are one."""
+    begin, end, at, last = [], [], 0, size - least + 1
+    for a, z in [*alone, (last, last)]:
+        if a > at:
+            if end and at <= end[-1]:
+                end[-1] = a - 1 + least
+            else:
+                begin.append(at)
+                end.append(a - 1 + least)
+        at = max(at, z)
+    return begin, end
 
 
 def _span_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, segment, kinds, bytes) of the wanted spans (anchor, segment, kinds, k, first, end)."""
-    each = durable(wanted.groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct("anchor", "segment", "kinds", "first", "end")).alias("spans")), "wanted")
-    of = F.broadcast(each) if wanted.count() <= 500_000 else each
+    """``wanted`` (anchor, segment, n, kinds, k, first, windows) with the bytes of its segments in place of windows."""
+    fields = ("anchor", "segment", "n", "kinds", "k", "first")
+    each = wanted.groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct(*fields, "end")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_buffers(b.column(0))
-            data, rows = data.tobytes(), []
-            for k, spans in enumerate(b.column(1).to_pylist()):
-                at = int(offsets[k])
-                rows += [(s["anchor"], s["segment"], s["kinds"], data[at + s["first"] : at + s["end"]]) for s in spans]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["anchor", "segment", "kinds", "bytes"])
+            for i in range(0, b.num_rows, 512):
+                rows = []
+                for k, spans in enumerate(b.column(1).slice(i, 512).to_pylist(), i):
+                    text = data[offsets[k] : offsets[k + 1]].tobytes()
+                    rows += [(*(s[f] for f in fields), text[s["first"] : s["end"]]) for s in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 6 + [pa.binary()])], [*fields, "bytes"])
 
-    return docs.join(of, "__k").select(F.col("text").cast("string"), "spans").mapInArrow(cut, "anchor long, segment long, kinds long, bytes binary")
+    return docs.join(each, "__k").select(F.col("text").cast("string"), "spans").mapInArrow(cut, "anchor long, segment long, n long, kinds long, k long, first long, bytes binary")
 
 
 def _window_rows(parts: DataFrame, least: int) -> DataFrame:
-    """(anchor, segment, at, hash) of each window of the segments."""
+    """(hash, n, k, at) of each window of the segments."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for anchor, segment, text in zip(*(c.to_pylist() for c in b.columns)):
-                h = window_hashes(np.frombuffer(text, np.uint8), least)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), v)) if isinstance(v, int) else pa.array(v) for v in (anchor, segment, np.arange(len(h)), h.view(np.int64))], ["anchor", "segment", "at", "hash"])
-
-    return parts.dropDuplicates(["anchor", "segment"]).mapInArrow(rows, "anchor long, segment long, at long, hash long")
-
-
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(k, begin, end) of what is repeated in the keyed ``docs``; spans may overlap."""
-    cuts = durable(text_segments(docs, least), "segments")
-    kinds = durable(cuts.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("k", "first", "windows")).alias("at")), "kinds")
-    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    whole = kinds.where("n > 1").select("anchor", "segment")
-    compare = kinds.join(groups, "anchor").select("anchor", "segment", "kinds", "at.k", "at.first", (F.col("at.first") + F.col("at.windows") + least - 1).alias("end"))
-    parts = durable(_span_bytes(docs, durable(compare, "compare")), "bytes")
-    small = parts.where(F.col("kinds") <= GROUP).select("anchor", "segment", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    by_array = small.mapInArrow(_group_repeats(least), "anchor long, segment long, begin long, end long")
-    windows = durable(_window_rows(parts.where(F.col("kinds") > GROUP).select("anchor", "segment", "bytes"), least), "windows")
-    twice = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "hash")
-    by_hash = windows.join(twice, ["anchor", "hash"]).select("anchor", "segment", F.col("at").alias("begin"), (F.col("at") + least).alias("end"))
-    found = durable(by_array.unionByName(by_hash), "found").join(whole, ["anchor", "segment"], "left_anti")
-    inside = found.groupBy("anchor", "segment").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    full = cuts.join(whole, ["anchor", "segment"]).select("k", F.col("first").alias("begin"), (F.col("first") + F.col("windows") + least - 1).alias("end"))
-    partly = cuts.join(inside, ["anchor", "segment"]).select("k", "first", F.explode("spans").alias("s"))
-    return full.unionByName(partly.select("k", (F.col("first") + F.col("s.begin")).alias("begin"), (F.col("first") + F.col("s.end")).alias("end")))
+            for n, k, first, text in zip(*(c.to_pylist() for c in b.columns)):
+                h = window_hashes(np.frombuffer(text, np.uint8), least).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h, np.full(len(h), n), np.full(len(h), k), first + np.arange(len(h)))], ["hash", "n", "k", "at"])
+
+    return parts.select("n", "k", "first", "bytes").mapInArrow(rows, "hash long, n long, k long, at long")
+
+
+def unique_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(k, begin, end): runs of windows of the keyed ``docs`` that stand nowhere else. All other windows are repeated."""
+    cuts = text_segments(docs, least).repartition(partitions_for(docs), "anchor")
+    kinds = cuts.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("k", "first", "windows")).alias("at"))
+    kinds = kinds.select("anchor", "segment", "n", "at.*", F.count("*").over(Window.partitionBy("anchor")).alias("kinds"))
+    kinds = durable(kinds, "kinds")
+    alone = kinds.where("n = 1 and kinds = 1").select("k", F.col("first").alias("begin"), (F.col("first") + F.col("windows")).alias("end"))
+    parts = durable(_span_bytes(docs, kinds.where("kinds > 1").withColumn("end", F.col("first") + F.col("windows") + least - 1)), "bytes")
+    small = parts.where(F.col("kinds") <= GROUP).select("anchor", "segment", "n", "k", "first", "bytes").repartition(partitions_for(docs), "anchor").sortWithinPartitions("anchor")
+    by_array = small.mapInArrow(_group_unique(least), "k long, begin long, end long")
+    windows = _window_rows(parts.where(F.col("kinds") > GROUP), least).groupBy("hash").agg(F.sum("n").alias("n"), F.min("k").alias("k"), F.min("at").alias("begin"))
+    by_hash = windows.where("n = 1").select("k", "begin", (F.col("begin") + 1).alias("end"))
+    return alone.unionByName(by_array).unionByName(by_hash)
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", with_text: bool = True) -> DataFrame:
     """``docs`` with a struct ``into``: n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, the kept text."""
     names, source = docs.columns, keyed(docs)
-    spans = repeated_spans(source, least).groupBy(F.col("k").alias("__k")).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("__spans"))
+    alone = unique_windows(source, least).groupBy(F.col("k").alias("__k")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__alone"))
     schema = id_and(docs, f"`{into}` struct<n_bytes: long, n_removed: long, n_spans: long, kept_sha256: string, kept_text: string>", *names)
     kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
@@ -248,10 +259,10 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", w
             data, out = data.tobytes(), []
             for k, found in enumerate(b.column(1).to_pylist()):
                 text = data[int(offsets[k]) : int(offsets[k + 1])]
-                begin, end = _merged(*(np.array([s[x] for s in found or ()], np.int64) for x in ("begin", "end")))
+                begin, end = covered_bytes(len(text), [(s["begin"], s["end"]) for s in found or ()], least)
                 kept = b"".join(text[i:j] for i, j in zip([0, *end], [*begin, len(text)]))
                 out.append({"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(begin), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None})
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, kind)], schema.names)
 
-    joined = source.join(spans, "__k", "left").select(F.col("text").cast("string").alias("__text"), "__spans", *(F.col(f"`{n}`") for n in names))
+    joined = source.join(alone, "__k", "left").select(F.col("text").cast("string").alias("__text"), "__alone", *(F.col(f"`{n}`") for n in names))
     return joined.mapInArrow(cut, schema)
