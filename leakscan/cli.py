@@ -1,0 +1,150 @@
+"""Command line: scan staged changes, audit a tree or history, check one file, check the configuration."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import sys
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import ConfigError, ScanContext, build_context, discover_and_load, load_strict
+from .functions.predicates import audit_keeps, is_blocked_env, is_path_skipped
+from .operators import history as H
+from .operators.detect import detect
+from .operators.search import search
+from .rules import RuleError
+from .sources import git as G
+from .sources.diff import added_lines, diff_lines, file_blocks, files
+from .sources.text import lines_from_files, read_files
+
+MAX_STDIN = 1 << 20
+
+
+def parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser("leakscan")
+    p.add_argument("--root", default=".")
+    p.add_argument("--config", action="append", default=[])
+    p.add_argument("--no-defaults", action="store_true")
+    p.add_argument("--entropy-threshold", type=float)
+    p.add_argument("--detect-public-keys", action="store_true", default=None)
+    p.add_argument("--allow-path", action="append", default=[])
+    p.add_argument("--stopword", action="append", default=[])
+    sub = p.add_subparsers(dest="command", required=True)
+    sub.add_parser("scan")
+    a = sub.add_parser("audit")
+    for flag in ("--history", "--include-ignored"):
+        a.add_argument(flag, action="store_true")
+    for flag in ("--branch", "--since", "--until"):
+        a.add_argument(flag)
+    for flag in ("--search", "--search-regex", "--exclude", "--include"):
+        a.add_argument(flag, action="append", default=[])
+    c = sub.add_parser("check-file")
+    c.add_argument("path", nargs="?")
+    sub.add_parser("doctor")
+    return p
+
+
+def context(spark: SparkSession, o: argparse.Namespace, root: str) -> ScanContext:
+    """Explicit configurations replace discovery; flags stand above both."""
+    config = load_strict(o.config) if o.config else discover_and_load(Path(root))
+    more = {"exclude_patterns": tuple(getattr(o, "exclude", ())), "include_patterns": tuple(getattr(o, "include", ()))}
+    return build_context(spark, config, o.no_defaults, entropy_threshold=o.entropy_threshold, detect_public_keys=o.detect_public_keys, paths=tuple(o.allow_path), stopwords=tuple(o.stopword), **more)
+
+
+def show(rows: DataFrame, *columns: str) -> int:
+    n = 0
+    for r in rows.select(*columns).toLocalIterator():
+        print("  ".join(str(x) for x in r), file=sys.stderr)
+        n += 1
+    return n
+
+
+def scan(spark: SparkSession, o: argparse.Namespace) -> int:
+    diffs = G.staged_diff(spark, o.root)
+    if not diffs.take(1):
+        return 0
+    ctx = context(spark, o, G.repo_root(o.root))
+    blocked = H.blocked_files(files(file_blocks(diff_lines(diffs))))
+    lines = H.without_blocked(added_lines(diffs), ["file_ord"])
+    return int(show(H.report_rows(detect(lines, ctx, ["diff_id", "file_ord"]), blocked), "path", "line", "rule_id", "shown") > 0)
+
+
+def audit(spark: SparkSession, o: argparse.Namespace) -> int:
+    if not o.history and (o.branch or o.since or o.until):
+        raise ConfigError("--branch, --since and --until need --history")
+    ctx = context(spark, o, o.root)
+    keeps = audit_keeps(F.col("path"), ctx.config.exclude_patterns, ctx.config.include_patterns)
+    errors = 0
+    if o.history:
+        found = G.commits(spark, o.root, o.branch, o.since, o.until)
+        meta = found.drop("is_root")
+        lines = added_lines(G.commit_diffs(found, o.root).withColumnRenamed("commit_ord", "diff_id")).withColumnRenamed("diff_id", "commit_ord").where(keeps)
+        rows = H.dedup_findings(detect(lines, ctx, ["commit_ord", "file_ord"], ordered=False).join(meta, "commit_ord"))
+        rows = H.with_branches(rows, G.commit_branches(rows, o.root)).orderBy("timestamp", "hash", "path", "line_no")
+        n = show(rows.withColumn("shown", H.mask(F.col("secret"))), "hash", "author", "date", "branches", "path", "line_no", "rule_id", "shown")
+        hits = H.dedup_search(search(lines.join(meta, "commit_ord"), o.search, o.search_regex)) if o.search or o.search_regex else None
+    else:
+        names, errors = G.tracked_files(o.root)
+        if o.include_ignored or ctx.config.include_ignored:
+            names = list(dict.fromkeys([*names, *G.ignored_files(o.root)[0]]))
+        listed = spark.createDataFrame([(x,) for x in names], "path string").where(keeps)
+        paths = [r["path"] for r in listed.collect()]
+        there = [x for x in paths if (Path(o.root) / x).is_file()]
+        errors += len(paths) - len(there)
+        if not there:
+            return 2 if errors else 0
+        lines = lines_from_files(spark, there, str(Path(o.root).resolve()))
+        n = show(H.report_rows(detect(lines, ctx)), "path", "line", "rule_id", "shown")
+        hits = search(lines, o.search, o.search_regex) if o.search or o.search_regex else None
+    n += show(H.search_report(hits), "path", "line_no", "pattern", "shown") if hits is not None else 0
+    return 1 if n else 2 if errors else 0
+
+
+def check_file(spark: SparkSession, o: argparse.Namespace) -> int:
+    """0 if clean or skipped, 2 if it must not be read. The path comes as an argument or as a hook's JSON."""
+    name, base = o.path, Path(o.root)
+    if name is None:
+        payload = json.loads(sys.stdin.read(MAX_STDIN))
+        name, base = payload.get("tool_input", {}).get("file_path", ""), Path(payload.get("cwd") or o.root)
+    path, base = Path(name or ""), base.resolve()
+    if not name or not base.is_dir():
+        return 2
+    path = path if path.is_absolute() else (base / path).resolve()
+    if not Path(name).is_absolute() and base not in path.parents:
+        return 2
+    rel, root = (str(path.relative_to(base)), str(base)) if base in path.parents else (path.name, str(path.parent))
+    ctx = context(spark, o, root)
+    p = F.lit(rel)
+    env, skip = spark.range(1).select(is_blocked_env(p), is_path_skipped(p, ctx.paths) | ~audit_keeps(p, ctx.config.exclude_patterns)).first()
+    if env:
+        return 2
+    if skip:
+        return 0
+    if not path.is_file():
+        return 2
+    if read_files(spark, [rel], root).where("status = 'binary'").take(1):
+        return 0
+    return 2 if show(H.report_rows(detect(lines_from_files(spark, [rel], root), ctx)), "path", "line", "rule_id", "shown") else 0
+
+
+def doctor(spark: SparkSession, o: argparse.Namespace) -> int:
+    ctx = context(spark, o, o.root)
+    print(f"config: {len(ctx.rules.rules)} rules loaded and compiled", file=sys.stderr)
+    return 0
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    o = parser().parse_args(argv)
+    spark = spark or SparkSession.builder.appName("leakscan").getOrCreate()
+    try:
+        return {"scan": scan, "audit": audit, "check-file": check_file, "doctor": doctor}[o.command](spark, o)
+    except (ConfigError, RuleError, G.GitError, ValueError) as e:
+        print(e, file=sys.stderr)
+        return 2
+
+
+if __name__ == "__main__":
+    sys.exit(main())

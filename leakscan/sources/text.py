@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +20,31 @@ def lines_from_text(df: DataFrame, path: Column, text: Column, *keep: str) -> Da
     return rows.where("raw <> ''").select("path", (F.col("at") + 1).alias("line_no"), F.regexp_replace("raw", r"\r\z", "").alias("line"), *keep)
 
 
+def _read_hidden(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
+    """Spark's readers leave out names that start with a dot or an underscore; workers open those themselves."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"path": p["path"], "content": [Path(root.removeprefix("file://"), x).read_bytes() for x in p["path"]]})
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(read, "path string, content binary")
+
+
 def read_files(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
-    """(path, status, content): status is ok or binary (a NUL in the first bytes); missing files give no row."""
-    got = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{p}" for p in paths])
-    base = root.rstrip("/").removeprefix("file://") + "/"
-    path = F.substring_index(F.regexp_replace("path", r"^file:/+", "/"), base, -1)
+    """(path, status, content): status is ok or binary (a NUL in the first bytes). Missing files are an error."""
+    root = root.rstrip("/")
+    base = root.removeprefix("file://") + "/"
+    hidden = [p for p in paths if Path(p).name[0] in "._"]
+    plain = [p for p in paths if Path(p).name[0] not in "._"]
+    found = _read_hidden(spark, hidden, root) if hidden else None
+    if plain:
+        got = spark.read.format("binaryFile").load([f"{root}/{p}" for p in plain])
+        got = got.select(F.substring_index(F.regexp_replace("path", r"^file:/+", "/"), base, -1).alias("path"), "content")
+        found = got if found is None else found.unionByName(got)
+    if found is None:
+        return spark.createDataFrame([], "path string, status string, content binary")
     binary = F.position(F.lit(b"\0"), F.substring("content", 1, BINARY_PROBE)) > 0
-    return got.select(path.alias("path"), F.when(binary, "binary").otherwise("ok").alias("status"), "content")
+    return found.select("path", F.when(binary, "binary").otherwise("ok").alias("status"), "content")
 
 
 def lines_from_files(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
