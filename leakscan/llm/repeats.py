@@ -29,8 +29,8 @@ from ._common import BYTE_CODE, durable, id_and, mix64, partitions_for, powers,
 
 LEAST = 400
 GRAM = 16
-#: Different segments of an anchor up to which its suffix array is built in one task (about 0.6 kB each).
-GROUP = 256
+#: Different segments of an anchor up to which its suffix array is built in one task (about 0.1 MB each while sorting).
+GROUP = 1024
 STEP = 0x9E3779B97F4A7C15 | 1
 #: Low bits of a sort key that hold a place; the rest of the key is the hash's high part. Spark's strings are shorter than 2**31.
 PLACE_BITS = 31
@@ -220,13 +220,19 @@ def _span_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _window_rows(parts: DataFrame, least: int) -> DataFrame:
-    """(hash, n, k, at) of each window of the segments."""
+    """(hash, n, k, at): the different windows of a batch's segments, how often it has each, and where one of them is."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n, k, first, text in zip(*(c.to_pylist() for c in b.columns)):
-                h = window_hashes(np.frombuffer(text, np.uint8), least).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h, np.full(len(h), n), np.full(len(h), k), first + np.arange(len(h)))], ["hash", "n", "k", "at"])
+            for i in range(0, b.num_rows, 4096):
+                out = []
+                for n, k, first, text in zip(*(c.to_pylist() for c in b.slice(i, 4096).columns)):
+                    h = window_hashes(np.frombuffer(text, np.uint8), least).view(np.int64)
+                    out.append((h, np.full(len(h), n), np.full(len(h), k), first + np.arange(len(h))))
+                h, n, k, at = (np.concatenate(c) for c in zip(*out))
+                h, where, back = np.unique(h, return_index=True, return_inverse=True)
+                n = np.bincount(back.ravel(), weights=n, minlength=len(h)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h, n, k[where], at[where])], ["hash", "n", "k", "at"])
 
     return parts.select("n", "k", "first", "bytes").mapInArrow(rows, "hash long, n long, k long, at long")
 
