@@ -125,13 +125,19 @@ def _open(pattern: str, at: int) -> bool:
     return inside
 
 
+#: Translated patterns that the JVM has compiled before.
+_known: set[str] = set()
+
+
 def compile_pattern(spark: SparkSession, pattern: str) -> str:
     """The translated pattern; raises if the JVM can't compile it."""
     text = translate(pattern)
-    try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(text)
-    except Exception as e:
-        raise RuleError(f"invalid pattern {pattern!r}") from e
+    if text not in _known:
+        try:
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(text)
+        except Exception as e:
+            raise RuleError(f"invalid pattern {pattern!r}") from e
+        _known.add(text)
     return text
 
 
