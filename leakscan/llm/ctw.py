@@ -28,7 +28,7 @@ from ._common import LOWER, durable, partitions_for, slices, text_buffers, word_
 
 DEPTH = 4
 #: Documents of a block.
-BLOCK = 8192
+BLOCK = 6144
 #: Distinct grams of a group of subtrees, about.
 GROUP = 300_000
 GRAM, WORD = 0, 1
