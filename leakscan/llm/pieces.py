@@ -94,6 +94,7 @@ class UnigramPieces:
         lone = "".join(c for c in "\n\t\r" if c not in text)  # no piece has them, so a path always stops on both sides
         splits = not any(MARK in p.lstrip(MARK) for p in (pieces[i] for i in self.ids))
         self.parts = re.compile((f"[{lone}]|" if lone else "") + f"{MARK}*[^{MARK}{lone}]+|{MARK}+" if splits else "(?s).+").findall
+        self.raw = [bytes([self.byte_of[i]]) if k == "byte" else p.encode() if k == "piece" else b"" for i, (p, k) in enumerate(zip(pieces, kinds))]
         self.known: dict[str, bytes] = {}
         self.cost: dict[str, float] = {}
 
@@ -144,20 +145,7 @@ class UnigramPieces:
         return array("I", packed).tolist(), score
 
     def decode(self, ids: list[int]) -> str:
-        parts, run = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                parts.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            if self.kinds[i] == "piece":
-                parts.append(self.pieces[i])
-        if run:
-            parts.append(run.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
