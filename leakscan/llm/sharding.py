@@ -13,15 +13,11 @@ columns of the input are not looked at; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, id_and, partitions_for, text_or_empty
+from ._common import durable, partitions_for, text_or_empty
 
 ROUNDS = 6
 
@@ -61,26 +57,15 @@ def propagate(nodes: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS
     return nodes
 
 
-def numbered(rows: DataFrame, order: list[Column], shards: int) -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``rows`` with ``rank``: the place of each in its shard, from 0, in the given order."""
     ranged = rows.repartitionByRange(partitions_for(rows), F.col("shard"), *order).sortWithinPartitions("shard", *order)
-    schema = id_and(rows, "pid int, local long", *rows.columns)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, seen = TaskContext.get().partitionId(), np.zeros(shards, np.int64)
-        for b in batches:
-            s = b.column(b.schema.get_field_index("shard")).to_numpy()
-            local = np.zeros(len(s), np.int64)
-            for x in np.unique(s):
-                own = s == x
-                local[own] = seen[x] + np.arange(own.sum())
-                seen[x] += own.sum()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(s), pid, np.int32)), pa.array(local)], schema.names)
-
-    each = durable(ranged.mapInArrow(count, schema), "ranks")
-    parts = each.groupBy("pid", "shard").agg(F.count("*").alias("n"))
+    placed = ranged.withColumn("at", F.monotonically_increasing_id()).withColumn("pid", F.shiftright("at", 33))  # a row's place in its partition
+    each = durable(placed, "ranks")
+    parts = each.groupBy("pid", "shard").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return each.join(parts.select("pid", "shard", before.alias("before")), ["pid", "shard"]).withColumn("rank", F.col("local") + F.col("before")).drop("pid", "local", "before")
+    ranks = parts.select("pid", "shard", (before - F.col("first")).alias("shift"))
+    return each.join(ranks, ["pid", "shard"]).withColumn("rank", F.col("at") + F.col("shift")).drop("pid", "at", "shift")
 
 
 def leveled(rows: DataFrame, held: list[int], shards: int) -> DataFrame:
@@ -117,7 +102,7 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     moved = propagate(nodes, shards, total // shards)
     rows = base.join(moved.select("row", F.col("shard").alias("to")), "row", "left")
     rows = rows.select("doc_id", "size", "text_crc32", F.coalesce("to", start).alias("shard"), F.col("to").isNull().alias("single"), F.xxhash64("hub", F.lit(1)).alias("o"), "row")
-    ranked = durable(numbered(rows, [F.col("single"), F.col("o"), F.col("row")], shards), "ranked")
+    ranked = durable(numbered(rows, [F.col("single"), F.col("o"), F.col("row")]), "ranked")
     held = [0] * shards
     for r in ranked.groupBy("shard").count().collect():
         held[r["shard"]] = r["count"]
