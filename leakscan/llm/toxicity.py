@@ -2,7 +2,7 @@
 
 Words (lower-cased A-Z, runs of letters) and their beginnings are hashed to rows of an embedding table, a word's vector
 being the sum of the two; filters of several widths slide over the word sequence, each takes its maximum over the text, and a logistic output follows. The model learns from a bounded,
-documented sample of labelled rows on the driver (a few thousand short token lists) and scores all rows on the executors.
+documented sample of labelled rows, whole texts, on the driver (10,000 token lists at most) and scores all rows on the executors.
 Its output is calibrated so that 0.3 is the decision bound overall; a bound for each language is calibrated beside it,
 and is only ever compared with the score: language, source, id and labels are no inputs of a score.
 
@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from ._common import LOWER, id_and, slices, text_buffers, word_hashes, word_spans
 
-#: Labelled rows to learn from, at most (the first by a hash of their id), and words of each that training looks at.
+#: Labelled rows to learn from, at most (the first by a hash of their id); of each its whole text.
 SAMPLE_ROWS = 10_000
-TRAIN_WORDS = 4_000
+#: Words that calibration scores at once, about (a longer text stands alone).
+CHUNK = 1 << 18
 BUCKETS = 1 << 16
 WIDTH = 8
 HEAD = 6
@@ -169,7 +170,7 @@ def train(rows: list[tuple[np.ndarray, int, str]], seed: int = 7) -> Calibrated:
         return Calibrated(None)
     net = ConvNet(seed).fit([r[0] for r, h in zip(rows, held) if not h], y[~held])
     first = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
-    z = net.logits(np.concatenate([r[0] for r in rows]), first).astype(np.float64)
+    z = np.concatenate([net.logits(np.concatenate([r[0] for r in rows[a:b]]), first[a : b + 1] - first[a]) for a, b in slices(first, CHUNK)]).astype(np.float64)
     use = held if 0 < y[held].sum() < held.sum() else np.ones(len(y), bool)
     cut = best_cut(z[use], y[use])
     model = Calibrated(net, scale=4.0 / max(float(np.std(z)), 1e-6), cut=cut)
@@ -193,13 +194,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [t[f:g][:TRAIN_WORDS] for t, first in token_rows(b.column(0)) for f, g in zip(first[:-1], first[1:])]
+            rows = [t[f:g] for t, first in token_rows(b.column(0)) for f, g in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), *b.columns[1:]], ["tokens", "label", "lang", "at"])
 
     joined = have.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int"), "lang", "at")
-    got = joined.mapInArrow(tokens, "tokens array<long>, label int, lang string, at long").toArrow().to_pydict()
-    rows = sorted(zip(got["at"], got["tokens"], got["label"], got["lang"]), key=lambda r: (r[0], len(r[1])))
-    return [(np.array(t, np.int64), int(y == 1), lang or "") for _, t, y, lang in rows]
+    got = joined.mapInArrow(tokens, "tokens array<long>, label int, lang string, at long").toArrow()
+    texts = [t.values.to_numpy() for t in got.column("tokens")]  # views: no number of them becomes an object
+    rows = sorted(zip(got.column("at").to_pylist(), texts, got.column("label").to_pylist(), got.column("lang").to_pylist()), key=lambda r: (r[0], len(r[1])))
+    return [(t, int(y == 1), lang or "") for _, t, y, lang in rows]
+
+
+def bound_of(model: Calibrated, lang):
+    """The column of the bound of the language in the column ``lang``: the calibrated one, or ``BOUND`` where there is none."""
+    bounds = F.create_map(*(F.lit(x) for kv in model.bounds.items() for x in kv)) if model.bounds else F.create_map(F.lit(""), F.lit(BOUND))
+    return F.coalesce(bounds[lang], F.lit(BOUND))
 
 
 def score(docs: DataFrame, model: Calibrated, keep: list[str] | None = None) -> DataFrame:
@@ -221,7 +229,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, the bound of the document's language and whether the score reaches it."""
     model = train(labelled_sample(docs, labels))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
-    bounds = F.create_map(*(F.lit(x) for kv in model.bounds.items() for x in kv)) if model.bounds else F.create_map(F.lit(""), F.lit(BOUND))
     scored = score(docs.select("doc_id", "text", lang.alias("lang")), model, ["doc_id", "lang"])
-    bound = F.coalesce(bounds[F.col("lang")], F.lit(BOUND))
+    bound = bound_of(model, F.col("lang"))
     return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= BOUND).cast("int").alias("predicted"), bound.alias("language_bound"), (F.col("score") >= bound).alias("toxic_for_language"))

@@ -118,6 +118,17 @@ def test_toxicity(spark, empty):
     assert toxicity.classify(empty, df.select("doc_id", "toxic")).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """The word that makes a text toxic stands behind 4,500 others."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(4500)) + (" vile" if i % 4 == 0 else " mild"), "en", int(i % 4 == 0)) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4).cache()
+    sample = toxicity.labelled_sample(df.select("doc_id", "text", "lang"), df.select("doc_id", "toxic"))
+    assert sample and all(len(t) == 4501 for t, *_ in sample)
+    model = toxicity.train(sample)
+    assert np.mean([(model.scores(t, np.array([0, len(t)]))[0] >= toxicity.BOUND) == y for t, y, _ in sample]) > 0.95
+
+
 def test_sharding(docs, empty, by_id):
     rows = sharding.assign(docs, 4).collect()
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == collections.Counter((i, len(x.encode()) + 1, zlib.crc32(x.encode())) for i, x in by_id)
