@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import LOWER, durable, partitions_for, slices, text_buffers, word_hashes, word_spans
 
-DEPTH = 4
+DEPTH = 5
 #: Documents of a block.
 BLOCK = 6144
 #: Distinct grams of a group of subtrees, about.

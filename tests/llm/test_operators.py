@@ -169,6 +169,14 @@ def test_context_trees(docs, by_id, spark):
     assert ctw.scores(docs.where("false"), toxicity.remainder(10) == 0).count() == 0
 
 
+def test_context_reaches_five_bytes(spark):
+    """What follows is told by the fifth byte before: both contexts of four are the same."""
+    rows = [(i, f"{'ab'[i % 2]}----{'xy'[i % 2]}", i % 8 > 1) for i in range(400)] + [(400, "a----y", False), (401, "b----x", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t boolean")
+    got = {r["doc_id"]: r["score"] for r in ctw.scores(df, ~F.col("t")).collect()}
+    assert got[0] > got[400] + 1 and got[1] > got[401] + 1
+
+
 def test_context_tree_is_a_distribution():
     """Probabilities of all symbols after a context add up to one, and weights equal those of the recursion by hand."""
     rnd = np.random.default_rng(1)
