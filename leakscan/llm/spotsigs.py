@@ -1,9 +1,9 @@
 """Document fingerprints by spot signatures.
 
-At each common word (anchor) starts a chain: the anchor and the next content words after it, common words skipped. The set
-of a text's chains is its fingerprint. So that texts with few or no common words have spots too, one other word in
-``SAMPLED`` is an anchor by its hash, and in texts of fewer than ``SHORT`` words each word is; a text without any chain
-falls back on its bytes. Sets fall into
+At each word (anchor) starts a chain: the anchor and the next content words after it, common words skipped. The set of a
+text's chains is its fingerprint. Every word is an anchor at every length of text, so that texts with few or no common
+words have spots too and near-equal texts have near-equal sets; a text without any chain falls back on its bytes. Sets
+fall into
 partitions by length, wide enough that sets in partitions that don't touch can't reach the threshold; within reach they
 are compared by a Jaccard that stops as soon as the threshold is out of reach.
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ._common import LOWER, id_and, mix64, partitions_for, slices, text_buffers, word_hashes, word_spans
 from .toxicity import BETWEEN
 
-#: Common words of the four languages of the corpus.
-ANCHORS = (
+#: Common words of the four languages of the corpus: chains skip them.
+COMMON = (
     "the a an of and to in is that it for on was as with be by are this at from "
     "der die das und den von zu mit ein eine ist des dem nicht auf für "
     "de la le les et que du un une en pour est dans qui au sur par "
@@ -35,8 +35,6 @@ ANCHORS = (
 ).split()
 #: Content words of a chain.
 CHAIN = 2
-SAMPLED = 8
-SHORT = 50
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -47,17 +45,16 @@ def _hash_of(words: list[str]) -> np.ndarray:
 
 def signatures(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct spot signatures of each text."""
-    out, anchors = [], _hash_of(sorted(set(ANCHORS)))
+    out, listed = [], _hash_of(sorted(set(COMMON)))
     data, offsets = text_buffers(pa.array(texts, pa.large_string()))
     for a, b in slices(offsets, 1 << 20):
         raw = data[offsets[a] : offsets[b]]
         part = LOWER[raw]
         starts, ends, first = word_spans(part, offsets[a : b + 1] - offsets[a], BETWEEN)
         h = word_hashes(part, starts, ends)
-        at = np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)
-        common = anchors[at] == h if len(h) else np.zeros(0, bool)
-        count = np.diff(first)
-        spots, content = np.flatnonzero(common | (h % np.uint64(SAMPLED) == 0) | np.repeat(count < SHORT, count)), np.flatnonzero(~common)
+        at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+        common = listed[at] == h if len(h) else np.zeros(0, bool)
+        spots, content = np.arange(len(h)), np.flatnonzero(~common)
         next_ = np.searchsorted(content, spots, "right")
         stop = first[np.searchsorted(first, spots, "right")] if len(spots) else spots
         full = next_ + CHAIN <= len(content)

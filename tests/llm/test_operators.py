@@ -99,6 +99,15 @@ def test_fingerprints(docs, empty, by_id):
     assert spotsigs.fingerprint_with_next(empty).count() == 0 and spotsigs.fingerprint_with_next(docs.where("doc_id = 4")).first()["near_next"] == 1
 
 
+def test_fingerprints_at_every_length():
+    """Near copies are alike on both sides of any word count."""
+    rnd = random.Random(8)
+    for n in range(30, 130):
+        w = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(n)]
+        a, b = spotsigs.signatures([" ".join(w), " ".join(w[:-1])])
+        assert spotsigs.likeness(a, b) >= 0.9
+
+
 def test_toxicity(spark, empty):
     rnd = random.Random(3)
     say = lambda n: [rnd.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(n)]
