@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity (containment) join of text blocks with licence notices.
 
-A block is a line of the text. A notice matches a block if at least ``THRESHOLD`` of the notice's distinct words are in
-the block. The words of the notices are ordered by how many documents have them, over all documents; a match must hold
+A block is a run of neighbouring lines: from each line on, as many lines with words as it takes to have the notice's number
+of words behind the first line, so a notice wrapped over lines stands in the block of the line it starts in. A notice
+matches a block if at least ``THRESHOLD`` of the notice's distinct words are in the block. The words of the notices are ordered by how many documents have them, over all documents; a match must hold
 one of the notice's ``size - need + 1`` rarest words (prefix filter), have ``need`` words at least (length filter) and
 enough words left behind the first common one (positional filter); what remains is verified exactly. Only DataFrame
 functions are used. The notices are a constant of this module, so the broadcast side has a fixed size.
@@ -41,6 +42,8 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = 0.9
+
+
 def _spaced_phrases() -> list[str]:
     """Each phrase as it stands in a text whose words are joined by two spaces, so that neighbours share none."""
     return [" " + "  ".join(p.split()) + " " for p in PHRASES]
@@ -64,21 +67,46 @@ def word_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
 
 
 def prefix_index(notices: list[tuple[str, str]], frequency: dict[str, int], threshold: float) -> list[tuple]:
-    """(prefix word, its place, notice number, label, words, need) for each prefix word of each notice."""
+    """(prefix word, its place, notice number, label, words, need, words with repeats) for each prefix word of each notice."""
     out = []
     for k, (label, notice) in enumerate(notices):
         ranked = sorted(set(notice.split()), key=lambda w: (frequency[w], w))
         need = math.ceil(threshold * len(ranked))
-        out += [(w, i, k, label, ranked, need) for i, w in enumerate(ranked[: len(ranked) - need + 1])]
+        out += [(w, i, k, label, ranked, need, len(notice.split())) for i, w in enumerate(ranked[: len(ranked) - need + 1])]
     return out
 
 
+def _lines_holding(words: Column, ends: Column, most: Column) -> Column:
+    """The words of the first line and of as many further lines as it takes to have ``most`` words behind the first."""
+    enough = F.get(F.filter(ends, lambda e: e >= ends[0] + most), F.lit(0))
+    return F.slice(words, F.lit(1), F.coalesce(enough, F.size(words)))
+
+
+def _runs(text: Column, prefix: Column, most: int) -> Column:
+    """(words, ends of lines within them) of each line's run up to ``most`` words behind the line, if it has a prefix word."""
+    lines = F.filter(F.transform(F.split(text, "\n"), _words), lambda x: F.size(x) > 0)
+    flagged = F.transform(lines, lambda x: F.struct(x.alias("w"), F.arrays_overlap(x, prefix).alias("hit")))
+
+    def lines_on(_, i: Column) -> Column:
+        return F.slice(flagged, i + 1, most + 1)  # each line has a word at least, so these are enough
+
+    def ended(own: Column) -> Column:
+        ends = F.transform(own, lambda _, k: F.aggregate(F.slice(own, 1, k + 1), F.lit(0), lambda n, x: n + F.size(x["w"])))
+        return F.struct(F.flatten(own["w"]).alias("words"), ends.alias("ends"))
+
+    def cut(run: Column) -> Column:
+        return F.struct(_lines_holding(run["words"], run["ends"], F.lit(most)).alias("words"), run["ends"].alias("ends"))
+
+    near = F.filter(F.transform(flagged, lines_on), lambda own: F.exists(own, lambda x: x["hit"]))
+    return F.transform(F.transform(near, ended), cut)
+
+
 def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, base counts and places, matched labels and best containment."""
     spark, t = docs.sparkSession, F.col("t")
     vocabulary = sorted({w for _, n in notices for w in n.split()})
     index = prefix_index(notices, word_frequencies(docs.select("text"), vocabulary), threshold)
-    rows = F.broadcast(spark.createDataFrame(index, "word string, place int, notice int, label string, words array<string>, need int"))
+    rows = F.broadcast(spark.createDataFrame(index, "word string, place int, notice int, label string, words array<string>, need int, long int"))
     prefix = F.array(*(F.lit(w) for w in sorted({x[0] for x in index})))
 
     w, spaced = F.col("w"), F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" "))
@@ -86,7 +114,7 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, threshold: f
     counts = F.array(*((F.length("s") - F.length(F.replace("s", F.lit(x), F.lit("")))) / len(x) for x in _spaced_phrases())).cast("array<long>")
     some = reduce(Column.__or__, (F.contains("s", F.lit(x)) for x in _spaced_phrases()))
     base = base.withColumn("n", F.when(some, counts).otherwise(F.array(*[F.lit(0)] * len(PHRASES)).cast("array<long>")))
-    blocks = F.filter(F.transform(F.filter(F.split(t, "\n"), lambda x: x != ""), lambda x: F.array_distinct(_words(x))), lambda x: F.arrays_overlap(x, prefix))
+    blocks = _runs(t, prefix, max(x[6] for x in index))
     places = F.when(some, F.filter(F.transform(w, lambda x, i: F.when(_phrase_at(w, x, i), i)), lambda i: i.isNotNull()))
     base = base.withColumn("places", places).select(
         "rid", "doc_id", F.size(w).cast("long").alias("n_words"), "n",
@@ -95,9 +123,11 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, threshold: f
     )
     keys = ["rid", "doc_id", "n_words", "n", "first_word", "last_word"]
     each = base.select(*keys, F.explode_outer("blocks").alias("block"))
-    each = each.select(*keys, "block", F.explode_outer(F.array_intersect("block", prefix)).alias("word"))
+    each = each.select(*keys, "block", F.explode_outer(F.array_intersect("block.words", prefix)).alias("word"))
     left = F.size("words") - F.col("place")
-    found = each.join(rows, "word", "left").withColumn("share", F.when((F.size("block") >= F.col("need")) & (left >= F.col("need")), F.size(F.array_intersect("block", "words")) / F.size("words")))
+    own = _lines_holding(F.col("block.words"), F.col("block.ends"), F.col("long"))
+    found = each.join(rows, "word", "left").withColumn("own", F.when((F.size("block.words") >= F.col("need")) & (left >= F.col("need")), own))
+    found = found.withColumn("share", F.size(F.array_intersect("own", "words")) / F.size("words"))
     met = F.col("share") * F.size("words") >= F.col("need") - 1e-9
     return found.groupBy(*keys).agg(F.collect_set(F.when(met, F.col("label"))).alias("matched"), F.max(F.when(met, F.col("share"))).alias("containment"))
 

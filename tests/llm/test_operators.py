@@ -263,6 +263,17 @@ def test_license_containment(spark):
     assert got == want and want[0] == ["mit"]
 
 
+def test_license_wrapped_over_lines(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files".split()
+    wrapped = ["\n".join(" ".join(notice[k : k + n]) for k in range(0, len(notice), n)) for n in (1, 2, 5, 11)]
+    bsd = "/*\n * Some title. Redistribution and use in source and binary forms,\n *\n * with or without modification, are permitted provided\n * that the following conditions\n * are met:\n */\nint x;"
+    far = "\n".join(notice[:10] + ["other words stand here and more of them"] * 6 + notice[10:])
+    lines = [*wrapped, "head\n" * 40 + wrapped[2] + "\ntail" * 40, bsd, far, "\n\n", "word\n" * 3000]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: (sorted(r["matched"]), r["containment"]) for r in licenses.scan(df).collect()}
+    assert got == {**{i: (["mit"], 1.0) for i in range(5)}, 5: (["bsd"], 1.0), 6: ([], None), 7: ([], None), 8: ([], None)}
+
+
 @pytest.mark.parametrize("group", [256, 1])
 def test_repeats(docs, empty, by_id, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
