@@ -16,10 +16,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose score reaches the bound."""
+    """Drops the documents whose score reaches the bound of their language (``BOUND`` where none is calibrated)."""
     docs = docs.select(*COLUMNS)
     model = toxicity.train(toxicity.labelled_sample(docs, _labels(spark, sf_dir)))
-    return toxicity.score(docs, model, COLUMNS).where(F.col("score") < toxicity.BOUND).select(*COLUMNS)
+    return toxicity.score(docs, model, COLUMNS).where(F.col("score") < toxicity.bound_of(model, F.col("lang"))).select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

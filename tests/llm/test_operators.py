@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from leakscan.llm import ctw, jaccard, licenses, packing, pieces, quality, repeats, sharding, spotsigs, toxicity
+from leakscan.llm import ctw, jaccard, licenses, packing, pieces, quality, repeats, sharding, spotsigs, stages, toxicity
 from leakscan.llm._graph import components
 
 WORD_FILE, PIECE_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -138,6 +138,19 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert np.mean([(model.scores(t, np.array([0, len(t)]))[0] >= toxicity.BOUND) == y for t, y, _ in sample]) > 0.95
 
 
+def test_toxicity_stage_reads_language_bounds(spark, tmp_path, monkeypatch):
+    rows = [(1, "a", "en", "s", 1), (2, "b", "de", "s", 1), (3, "c", "fr", "s", 1), (4, "d", None, "s", 1)]
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(toxicity, "labelled_sample", lambda *_: [])
+    monkeypatch.setattr(toxicity, "train", lambda _: toxicity.Calibrated(None, bounds={"en": 0.0, "de": 0.9}))  # scores 0
+    kept = stages.toxicity_stage(spark, df, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4] and kept.columns == stages.COLUMNS
+    some = spark.createDataFrame([("en", 0.5), ("de", 0.5), ("fr", 0.5), (None, 0.2)], "lang string, score double")
+    bound = toxicity.bound_of(toxicity.Calibrated(None, bounds={"en": 0.1, "de": 0.9}), F.col("lang"))
+    assert [r[0] for r in some.select(F.col("score") >= bound).collect()] == [True, False, True, False]
+
+
 def test_sharding(docs, empty, by_id):
     rows = sharding.assign(docs, 4).collect()
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == collections.Counter((i, len(x.encode()) + 1, zlib.crc32(x.encode())) for i, x in by_id)
