@@ -1,10 +1,11 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
-Words (lower-cased A-Z, runs of letters) and their beginnings are hashed to rows of an embedding table, a word's vector
-being the sum of the two; filters of several widths slide over the word sequence, each takes its maximum over the text, and a logistic output follows. The model learns from a bounded,
-documented sample of labelled rows, whole texts, on the driver (10,000 token lists at most) and scores all rows on the executors.
-Its output is calibrated so that 0.3 is the decision bound overall; a bound for each language is calibrated beside it,
-and is only ever compared with the score: language, source, id and labels are no inputs of a score.
+Words (lower-cased A-Z, runs of letters) and their beginnings of ``HEADS`` bytes are hashed to rows of an embedding table,
+a word's vector being the sum of these rows; filters of several widths slide over the word sequence, each takes its maximum
+over the text, and a logistic output follows. The model learns from a bounded, documented sample of labelled rows, whole
+texts, on the driver (10,000 token lists at most) and scores all rows on the executors. Its output is calibrated, on rows
+that did not train the net, so that 0.3 is the decision bound overall; a bound for each language is calibrated beside it on
+such rows, and is only ever compared with the score: language, source, id and labels are no inputs of a score.
 
 Defined results: a null or empty text scores as a text without words; a null id is carried through; repeated rows get
 equal scores; without labelled rows of both classes all texts score 0; other columns of the input are not looked at.
@@ -28,23 +29,34 @@ SAMPLE_ROWS = 10_000
 CHUNK = 1 << 18
 BUCKETS = 1 << 16
 WIDTH = 8
-HEAD = 6
+#: Lengths of the beginnings of a word that have rows of their own.
+HEADS = (4, 6)
+BITS = np.uint64(16)
 FILTERS = {1: 8, 2: 4, 3: 4}
 BOUND = 0.3
+#: Share of words that a training step doesn't hear, so that no text is learned by one word alone.
+MUTED = 0.3
 #: Everything but letters stands between words (bytes above 127 are parts of letters).
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def token_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For runs of rows of a text column: embedding rows (word's, beginning's) of all words in one number each, and where each text's words start."""
+    """For runs of rows of a text column: all words, each the numbers of its embedding rows in one number, and where each text's words start."""
     data, offsets = text_buffers(column)
     for a, b in slices(offsets, 1 << 20):
         part = data[offsets[a] : offsets[b]]
         starts, ends, first = word_spans(part, offsets[a : b + 1] - offsets[a], BETWEEN)
         low = LOWER[part]
-        word, head = ((word_hashes(low, starts, e) >> np.uint64(20)).astype(np.int64) for e in (ends, np.minimum(ends, starts + HEAD)))
-        yield word % BUCKETS * BUCKETS + (head + 12_345) % BUCKETS, first
+        token = np.zeros(len(starts), np.uint64)
+        for k, e in enumerate([ends, *(np.minimum(ends, starts + n) for n in HEADS)]):
+            token = token << BITS | ((word_hashes(low, starts, e) >> np.uint64(20)) + np.uint64(12_345 * k)) % np.uint64(BUCKETS)
+        yield token.view(np.int64), first
+
+
+def embedding_rows(tokens: np.ndarray) -> list[np.ndarray]:
+    """The rows packed into each token by ``token_rows``."""
+    return [(tokens >> (16 * k)) % BUCKETS for k in range(len(HEADS) + 1)]
 
 
 class ConvNet:
@@ -79,7 +91,7 @@ class ConvNet:
     where = False
 
     def logits(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        x = self.e[tokens // BUCKETS] + self.e[tokens % BUCKETS]
+        x = sum(self.e[r] for r in embedding_rows(tokens))
         return np.hstack([self._maxima(x, first, k)[0] for k in FILTERS]) @ self.out + self.bias
 
     def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.05, batch: int = 64, seed: int = 11, steps: int = 400) -> ConvNet:
@@ -102,7 +114,9 @@ class ConvNet:
                 ids = order[a : a + batch]
                 tokens = np.concatenate([texts[i] for i in ids])
                 first = np.concatenate([[0], np.cumsum([len(texts[i]) for i in ids])])
-                x, step = self.e[tokens // BUCKETS] + self.e[tokens % BUCKETS], step + 1
+                of, step = embedding_rows(tokens), step + 1
+                heard = (rng.random(len(tokens)) >= MUTED).astype(np.float32)[:, None]
+                x = sum(self.e[r] for r in of) * heard
                 found = {k: self._maxima(x, first, k) for k in FILTERS}
                 h = np.hstack([f[0] for f in found.values()])
                 p = 1 / (1 + np.exp(-np.clip(h @ self.out + self.bias, -30, 30)))
@@ -119,9 +133,9 @@ class ConvNet:
                         for i in range(k):
                             part = self.w[k][i * WIDTH : (i + 1) * WIDTH]
                             np.add.at(gw[i * WIDTH : (i + 1) * WIDTH].T, f, g[:, None] * x[pos + i])
-                            for part_of in (tokens[pos + i] // BUCKETS, tokens[pos + i] % BUCKETS):
-                                rows.append(part_of)
-                                grads.append(g[:, None] * part[:, f].T)
+                            for r in of:
+                                rows.append(r[pos + i])
+                                grads.append(g[:, None] * heard[pos + i] * part[:, f].T)
                     adam(("w", k), self.w[k], gw + 1e-5 * self.w[k])
                     adam(("b", k), self.b[k], gb)
                 adam("out", self.out, (h.T @ d).astype(np.float32) + 1e-4 * self.out)
@@ -177,6 +191,7 @@ def train(rows: list[tuple[np.ndarray, int, str]], seed: int = 7) -> Calibrated:
     score = 1 / (1 + np.exp(-np.clip(model.scale * (z - cut) + np.log(BOUND / (1 - BOUND)), -40, 40)))
     for lang in sorted({r[2] for r in rows if r[2]}):
         own = np.array([r[2] == lang for r in rows])
+        own &= use
         model.bounds[lang] = best_cut(score[own], y[own]) if 20 <= own.sum() and 5 <= y[own].sum() < own.sum() else BOUND
     return model
 
