@@ -1,7 +1,8 @@
 """Quality rules: a learned decision list over native text statistics.
 
-Sequential covering on labelled statistics: a rule (conjunction of thresholds) is grown by information gain on two
-thirds of the sample, pruned on the last third, and kept while it is precise; the rows it covers leave the sample.
+Sequential covering on labelled statistics of the rows that the base rule keeps: a rule (conjunction of thresholds) is
+grown by information gain on two thirds of the sample, pruned on the last third, and kept while it is precise; the rows it
+covers leave the sample.
 The list comes out as one ordered Spark conditional expression. Only DataFrame functions run on the executors.
 
 Defined results: a null or empty text has no words (all counts 0, ``base_failed``); a null id is carried through;
@@ -23,7 +24,7 @@ WS = r"[\x20\x09-\x0D]"
 #: Labelled rows to learn from, at most (the first by a hash of their id).
 SAMPLE_ROWS = 8_000
 #: Statistics the rules may test.
-FEATURES = ("n_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "upper_share")
+FEATURES = ("n_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "words_per_line")
 
 
 def let(value: Column, body) -> Column:
@@ -80,7 +81,9 @@ def quality_stats(docs: DataFrame, text_col: str = "text", into: str = "quality"
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("__w"), F.size("__w")).alias("n_repeat_words"),
         F.size("__l").cast("long").alias("n_lines"),
-        F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("n_upper"),
+        F.size(F.array_distinct("__w")).cast("long").alias("n_distinct"),
+        F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        F.regexp_count(t, F.lit("[0-9]")).cast("long").alias("n_digits"),
     )
     return base.withColumn(into, stats).drop("__t", "__w", "__l")
 
@@ -94,7 +97,10 @@ def features(s: str = "quality") -> dict[str, Column]:
         "symbols_per_word": share("n_symbols", "n_words"),
         "dup_line_share": share("n_dup_lines", "n_lines"),
         "repeat_share": share("n_repeat_words", "n_words"),
+        "distinct_share": share("n_distinct", "n_words"),
         "upper_share": share("n_upper", "word_chars"),
+        "digit_share": share("n_digits", "word_chars"),
+        "words_per_line": share("n_words", "n_lines"),
     }
 
 
@@ -198,10 +204,11 @@ def learn_rules(rows: list[tuple[dict, bool]], precision: float = 0.98, cost: fl
 
 
 def labelled_stats(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[dict, bool]]:
-    """Statistics of at most ``sample_rows`` labelled documents, in the order of a hash of their ids."""
+    """Statistics of at most ``sample_rows`` labelled documents, in the order of a hash of their ids; those that the base
+    rule rejects anyway teach nothing and are left out."""
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").alias("label"), F.xxhash64("doc_id").alias("at")).orderBy("at", "doc_id").limit(sample_rows)
     rows = quality_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    out = rows.select("at", "doc_id", "label", *(c.alias(k) for k, c in features().items())).collect()
+    out = rows.where(~base_failed()).select("at", "doc_id", "label", *(c.alias(k) for k, c in features().items())).collect()
     return [({k: r[k] for k in FEATURES}, r["label"] == 0) for r in sorted(out, key=lambda r: (r["at"], r["doc_id"]))]
 
 
