@@ -5,9 +5,12 @@ equals). Equal windows have equal anchors, so all windows of an anchor form one
 equal anchors need comparing. Segments that are equal as a whole (most of what copies and shared passages give) are
 settled by an aggregate. Of the others one of each kind goes to its anchor's group, where an enhanced suffix array of the
 group's windows is built and scanned with a stack: each interval of common prefixes of ``least`` bytes or more whose
-left extensions differ is a maximal repeat, and all its occurrences are covered. Groups with more than ``GROUP``
-different segments (ends of a passage that very many documents share) are split by window: equal windows are counted by
-hash, which finds the same repeats. What goes back to the documents is the complement: the runs of windows met once.
+left extensions differ is a maximal repeat, and all its occurrences are covered. A group with more than ``GROUP``
+different segments (ends of a passage that very many documents share) is dealt again: its segments are cut into blocks of
+neighbouring windows, and the bytes that all windows of a block share, together with the anchor, are the key of the next
+groups, which go the same way; blocks get smaller until one is a single window, so each window is in a group that fits.
+A segment gives a bounded number of blocks, whatever the size of its group. What goes back to the documents is the
+complement: the runs of windows met once. ``repeat_groups`` gives the maximal repeats themselves, with all occurrences.
 
 Anchors and segments are compared by 64-bit hashes, windows in suffix arrays by their bytes.
 
@@ -19,18 +22,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import BYTE_CODE, durable, id_and, mix64, partitions_for, powers, text_buffers
 
 LEAST = 400
 GRAM = 16
-#: Different segments of an anchor up to which its suffix array is built in one task (about 0.1 MB each while sorting).
+#: Different segments of a group up to which its suffix array is built in one task (about 0.1 MB each while sorting).
 GROUP = 1024
+#: Windows of a block when a larger group is dealt again, then again.
+BLOCKS = (32, 8, 1)
 STEP = 0x9E3779B97F4A7C15 | 1
 #: Low bits of a sort key that hold a place; the rest of the key is the hash's high part. Spark's strings are shorter than 2**31.
 PLACE_BITS = 31
@@ -62,7 +68,7 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, least: int):
-    """For a text: each anchor's hash, its segment's first window, number of windows, and the segment's hash."""
+    """For a text: each anchor's hash, its segment's first window, number of windows, place of the anchor in it, and the segment's hash."""
     grams = window_hashes(data, GRAM)
     place = sliding_least(grams, least - GRAM + 1)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -72,8 +78,8 @@ def segments(data: np.ndarray, least: int):
     np.cumsum(BYTE_CODE[data] * powers(STEP, size + 1)[:size], out=total[1:])
     inverse = powers(pow(STEP, -1, 1 << 64), size + 1)
     whole = mix64((total[first + count + least - 1] - total[first]) * inverse[first] ^ mix64(count.astype(np.uint64)))
-    offset = (place[first] - first).astype(np.uint64)
-    return grams[place[first]], first, count, mix64(whole ^ (offset * np.uint64(STEP)))
+    offset = place[first] - first
+    return grams[place[first]], first, count, offset, mix64(whole ^ (offset.astype(np.uint64) * np.uint64(STEP)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -82,8 +88,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def text_segments(docs: DataFrame, least: int) -> DataFrame:
-    """(anchor, segment, n, k, first, windows): the different segments of a batch of keyed texts, how often the batch has
-    each, and where one of them is."""
+    """(anchor, segment, n, k, first, windows, at): the different segments of a batch of keyed texts, how often the batch has
+    each, and where one of them is; ``at`` is the anchor's place in the segment."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,14 +97,14 @@ def text_segments(docs: DataFrame, least: int) -> DataFrame:
             keys, out = b.column(0).to_numpy(), []
             for k in range(b.num_rows):
                 if offsets[k + 1] - offsets[k] >= least:
-                    anchor, first, count, whole = segments(data[offsets[k] : offsets[k + 1]], least)
-                    out.append((anchor.view(np.int64), whole.view(np.int64), np.full(len(first), keys[k]), first, count))
+                    anchor, first, count, at, whole = segments(data[offsets[k] : offsets[k + 1]], least)
+                    out.append((anchor.view(np.int64), whole.view(np.int64), np.full(len(first), keys[k]), first, count, at))
             if out:
-                anchor, whole, key, first, count = (np.concatenate(c) for c in zip(*out))
-                whole, at, n = np.unique(whole, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor[at], whole, n, key[at], first[at], count[at])], ["anchor", "segment", "n", "k", "first", "windows"])
+                anchor, whole, key, first, count, at = (np.concatenate(c) for c in zip(*out))
+                whole, one, n = np.unique(whole, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor[one], whole, n, key[one], first[one], count[one], at[one])], ["anchor", "segment", "n", "k", "first", "windows", "at"])
 
-    return docs.select("__k", F.col("text").cast("string")).mapInArrow(rows, "anchor long, segment long, n long, k long, first long, windows long")
+    return docs.select("__k", F.col("text").cast("string")).mapInArrow(rows, "anchor long, segment long, n long, k long, first long, windows long, at long")
 
 
 def suffix_array(texts: list[bytes], starts: list[int]) -> list[tuple[int, int]]:
@@ -166,21 +172,20 @@ def _group_unique(least: int):
                 out += [(r[3], r[4] + int(a), r[4] + int(z)) for a, z in zip(edge[::2], edge[1::2])]
         return out
 
-    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for b in batches:
-            out = []
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if held and held[0][0] != r[0]:
-                    out += settle(held)
-                    held = []
-                held.append(r)
-            if out:
-                yield _runs(out)
-        if held and (out := settle(held)):
-            yield _runs(out)
+    return lambda batches: (_runs(out) for rows in _groups(batches) if (out := settle(rows)))
 
-    return unique
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Runs of rows with equal first columns; a run can go on in the next batch."""
+    held: list[tuple] = []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            if held and held[0][0] != r[0]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
 
 
 def _runs(rows: list[tuple]) -> pa.RecordBatch:
@@ -201,10 +206,11 @@ def covered_bytes(size: int, alone: list[tuple[int, int]], least: int) -> tuple[
     return begin, end
 
 
-def _span_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (anchor, segment, n, kinds, k, first, windows) with the bytes of its segments in place of windows."""
-    fields = ("anchor", "segment", "n", "kinds", "k", "first")
-    each = wanted.groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct(*fields, "end")).alias("spans"))
+def _span_bytes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """``wanted`` (anchor, segment, n, kinds, k, first, windows, at) with the bytes of its segments in place of windows."""
+    fields = ("anchor", "segment", "n", "kinds", "k", "first", "at")
+    end = (F.col("first") + F.col("windows") + (least - 1)).alias("end")
+    each = wanted.groupBy(F.col("k").alias("__k")).agg(F.collect_set(F.struct(*fields, end)).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,42 +220,74 @@ def _span_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for k, spans in enumerate(b.column(1).slice(i, 512).to_pylist(), i):
                     text = data[offsets[k] : offsets[k + 1]].tobytes()
                     rows += [(*(s[f] for f in fields), text[s["first"] : s["end"]]) for s in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 6 + [pa.binary()])], [*fields, "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * len(fields) + [pa.binary()])], [*fields, "bytes"])
 
-    return docs.join(each, "__k").select(F.col("text").cast("string"), "spans").mapInArrow(cut, "anchor long, segment long, n long, kinds long, k long, first long, bytes binary")
+    return docs.select("__k", "text").join(each, "__k").select(F.col("text").cast("string"), "spans").mapInArrow(cut, ", ".join(f"{f} long" for f in fields) + ", bytes binary")
 
 
-def _window_rows(parts: DataFrame, least: int) -> DataFrame:
-    """(hash, n, k, at): the different windows of a batch's segments, how often it has each, and where one of them is."""
+def _blocks(rows: DataFrame, size: int, least: int) -> DataFrame:
+    """Segments cut into blocks of ``size`` windows, counted from the anchor back: (anchor, segment, n, k, first, at, bytes).
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                out = []
-                for n, k, first, text in zip(*(c.to_pylist() for c in b.slice(i, 4096).columns)):
-                    h = window_hashes(np.frombuffer(text, np.uint8), least).view(np.int64)
-                    out.append((h, np.full(len(h), n), np.full(len(h), k), first + np.arange(len(h))))
-                h, n, k, at = (np.concatenate(c) for c in zip(*out))
-                h, where, back = np.unique(h, return_index=True, return_inverse=True)
-                n = np.bincount(back.ravel(), weights=n, minlength=len(h)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h, n, k[where], at[where])], ["hash", "n", "k", "at"])
+    The new ``anchor`` is a hash of the old one, the block's number and the bytes that all windows of such a block share
+    (a segment that ends inside a block has them too): equal windows meet again."""
 
-    return parts.select("n", "k", "first", "bytes").mapInArrow(rows, "hash long, n long, k long, at long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                out: list[tuple] = []
+                for anchor, n, k, first, at, text in zip(*(c.to_pylist() for c in b.slice(i, 1024).columns)):
+                    windows, j = len(text) - least + 1, 0
+                    while j < windows:
+                        number = (at - j) // size  # windows of a block start at most size * number + size - 1 before the anchor
+                        stop = min(at - number * size + 1, windows)
+                        core = text[at - number * size : at - number * size - size + 1 + least]
+                        part = text[j : stop - 1 + least]
+                        out.append((_digest(core, anchor, number), _digest(part, at - j, 0), n, k, first + j, at - j, part))
+                        j = stop
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 6 + [pa.binary()])], ["anchor", "segment", "n", "k", "first", "at", "bytes"])
+
+    found = rows.select("anchor", "n", "k", "first", "at", "bytes").mapInArrow(cut, "anchor long, segment long, n long, k long, first long, at long, bytes binary")
+    return found.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("k", "first", "at", "bytes")).alias("one")).select("anchor", "segment", "n", "one.*")
+
+
+def _digest(data: bytes, a: int, b: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=a.to_bytes(8, "big", signed=True) + b.to_bytes(8, "big", signed=True)).digest(), "big", signed=True)
+
+
+def _with_kinds(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (a stored table) with ``kinds``: how many there are of each anchor, null for one."""
+    sizes = durable(rows.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), name)
+    return rows.join(sizes, "anchor", "left")
+
+
+def segment_kinds(docs: DataFrame, least: int) -> DataFrame:
+    """The different segments of the keyed ``docs``: (anchor, segment, n, k, first, windows, at, kinds)."""
+    cuts = text_segments(docs, least).groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("k", "first", "windows", "at")).alias("one"))
+    return _with_kinds(durable(cuts.select("anchor", "segment", "n", "one.*"), "kinds"), "sizes")
+
+
+def array_groups(docs: DataFrame, kinds: DataFrame, least: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Round by round: the rows that are alone in their group, and those of groups that fit one suffix array, in order."""
+    alone = kinds.where("kinds is null").select("anchor", "segment", "n", "k", "first", "windows")
+    rows = durable(_span_bytes(docs, kinds.where("kinds > 1"), least), "bytes")
+    for size in (*BLOCKS, 0):
+        small = rows.where(F.col("kinds") <= GROUP).select("anchor", "segment", "n", "k", "first", "bytes")
+        yield alone, small.repartition(partitions_for(docs), "anchor").sortWithinPartitions("anchor")
+        large = rows.where(F.col("kinds") > GROUP)
+        if not size or not large.take(1):
+            return
+        counted = _with_kinds(durable(_blocks(large, size, least), "blocks"), "sizes")
+        alone = counted.where("kinds is null").select("anchor", "segment", "n", "k", "first", (F.length("bytes") - (least - 1)).alias("windows"))
+        rows = durable(counted.where("kinds > 1"), "bytes")
 
 
 def unique_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(k, begin, end): runs of windows of the keyed ``docs`` that stand nowhere else. All other windows are repeated."""
-    cuts = text_segments(docs, least).repartition(partitions_for(docs), "anchor")
-    kinds = cuts.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("k", "first", "windows")).alias("at"))
-    kinds = kinds.select("anchor", "segment", "n", "at.*", F.count("*").over(Window.partitionBy("anchor")).alias("kinds"))
-    kinds = durable(kinds, "kinds")
-    alone = kinds.where("n = 1 and kinds = 1").select("k", F.col("first").alias("begin"), (F.col("first") + F.col("windows")).alias("end"))
-    parts = durable(_span_bytes(docs, kinds.where("kinds > 1").withColumn("end", F.col("first") + F.col("windows") + least - 1)), "bytes")
-    small = parts.where(F.col("kinds") <= GROUP).select("anchor", "segment", "n", "k", "first", "bytes").repartition(partitions_for(docs), "anchor").sortWithinPartitions("anchor")
-    by_array = small.mapInArrow(_group_unique(least), "k long, begin long, end long")
-    windows = _window_rows(parts.where(F.col("kinds") > GROUP), least).groupBy("hash").agg(F.sum("n").alias("n"), F.min("k").alias("k"), F.min("at").alias("begin"))
-    by_hash = windows.where("n = 1").select("k", "begin", (F.col("begin") + 1).alias("end"))
-    return alone.unionByName(by_array).unionByName(by_hash)
+    found = []
+    for alone, grouped in array_groups(docs, segment_kinds(docs, least), least):
+        found.append(alone.where("n = 1").select("k", F.col("first").alias("begin"), (F.col("first") + F.col("windows")).alias("end")))
+        found.append(grouped.mapInArrow(_group_unique(least), "k long, begin long, end long"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", with_text: bool = True) -> DataFrame:

@@ -287,7 +287,7 @@ def test_license_wrapped_over_lines(spark):
     assert got == {**{i: (["mit"], 1.0) for i in range(5)}, 5: (["bsd"], 1.0), 6: ([], None), 7: ([], None), 8: ([], None)}
 
 
-@pytest.mark.parametrize("group", [256, 1])
+@pytest.mark.parametrize("group", [256, 3, 1])
 def test_repeats(docs, empty, by_id, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
     least, data = 60, [(i, x.encode()) for i, x in by_id]
