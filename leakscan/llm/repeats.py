@@ -172,7 +172,17 @@ def _group_unique(least: int):
                 out += [(r[3], r[4] + int(a), r[4] + int(z)) for a, z in zip(edge[::2], edge[1::2])]
         return out
 
-    return lambda batches: (_runs(out) for rows in _groups(batches) if (out := settle(rows)))
+    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for rows in _groups(batches):
+            out += settle(rows)
+            if len(out) >= 8192:
+                yield _runs(out)
+                out = []
+        if out:
+            yield _runs(out)
+
+    return unique
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
