@@ -208,8 +208,8 @@ def labelled_stats(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     rule rejects anyway teach nothing and are left out."""
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").alias("label"), F.xxhash64("doc_id").alias("at")).orderBy("at", "doc_id").limit(sample_rows)
     rows = quality_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    out = rows.where(~base_failed()).select("at", "doc_id", "label", *(c.alias(k) for k, c in features().items())).collect()
-    return [({k: r[k] for k in FEATURES}, r["label"] == 0) for r in sorted(out, key=lambda r: (r["at"], r["doc_id"]))]
+    out = rows.select("at", "doc_id", "label", base_failed().alias("failed"), *(c.alias(k) for k, c in features().items())).collect()
+    return [({k: r[k] for k in FEATURES}, r["label"] == 0) for r in sorted(out, key=lambda r: (r["at"], r["doc_id"])) if not r["failed"]]
 
 
 def judge(docs: DataFrame, rules: DecisionList, into: str = "quality") -> DataFrame:

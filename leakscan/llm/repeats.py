@@ -308,15 +308,17 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", w
     kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_buffers(b.column(0))
-            data, out = data.tobytes(), []
-            for k, found in enumerate(b.column(1).to_pylist()):
-                text = data[int(offsets[k]) : int(offsets[k + 1])]
-                begin, end = covered_bytes(len(text), [(s["begin"], s["end"]) for s in found or ()], least)
-                kept = b"".join(text[i:j] for i, j in zip([0, *end], [*begin, len(text)]))
-                out.append({"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(begin), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None})
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, kind)], schema.names)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                b = whole.slice(a, 1024)
+                data, offsets = text_buffers(b.column(0))
+                data, out = data.tobytes(), []
+                for k, found in enumerate(b.column(1).to_pylist()):
+                    text = data[int(offsets[k]) : int(offsets[k + 1])]
+                    begin, end = covered_bytes(len(text), [(s["begin"], s["end"]) for s in found or ()], least)
+                    kept = b"".join(text[i:j] for i, j in zip([0, *end], [*begin, len(text)]))
+                    out.append({"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(begin), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None})
+                yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, kind)], schema.names)
 
     joined = source.join(alone, "__k", "left").select(F.col("text").cast("string").alias("__text"), "__alone", *(F.col(f"`{n}`") for n in names))
     return joined.mapInArrow(cut, schema)

@@ -20,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import LOWER, id_and, slices, text_buffers, word_hashes, word_spans
 
 #: Labelled rows to learn from, at most (the first by a hash of their id); of each its whole text.
 SAMPLE_ROWS = 10_000
+#: Bytes of text that are cut into words at once, about (a longer text stands alone).
+SLICE = 1 << 18
 #: Words that calibration scores at once, about (a longer text stands alone).
 CHUNK = 1 << 18
 BUCKETS = 1 << 16
@@ -44,7 +47,7 @@ BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 def token_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of rows of a text column: all words, each the numbers of its embedding rows in one number, and where each text's words start."""
     data, offsets = text_buffers(column)
-    for a, b in slices(offsets, 1 << 20):
+    for a, b in slices(offsets, SLICE):
         part = data[offsets[a] : offsets[b]]
         starts, ends, first = word_spans(part, offsets[a : b + 1] - offsets[a], BETWEEN)
         low = LOWER[part]
@@ -230,14 +233,18 @@ def score(docs: DataFrame, model: Calibrated, keep: list[str] | None = None) ->
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: the embedding table and a few filters
     schema = id_and(docs, "score double", *keep)
+    text = keep.index("text") if "text" in keep and docs.schema["text"].dataType == T.StringType() else len(keep)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            parts = [m.scores(t, first) for t, first in token_rows(b.column(0))]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(parts) if parts else np.zeros(0))], schema.names)
-
-    return docs.select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(scored, schema)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2048):
+                b = whole.slice(a, 2048)
+                parts = [m.scores(t, first) for t, first in token_rows(b.column(text))]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.concatenate(parts))], schema.names)
+
+    more = [] if text < len(keep) else [F.col("text").cast("string").alias("__text")]
+    return docs.select(*keep, *more).mapInArrow(scored, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
