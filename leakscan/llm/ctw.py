@@ -5,10 +5,12 @@ Every node (context of up to DEPTH bytes, bits so far) has a Krichevsky-Trofimov
 the weighted probability of a node is half its own estimate and half the product of its children's. A decision's
 probability mixes the estimates of all depths by these weights; contexts never met in training don't take part.
 
-Everything is counted in the corpus and stays distributed: blocks of documents report their distinct grams and words with
-training counts, the counts are added up, each subtree of two bytes of context is weighted in one task (its size depends
-on DEPTH, not on the corpus), the two top levels (256 contexts at most) on the driver, and every gram's probability goes
-back to the blocks that hold it. A word is known by a 64-bit hash.
+Everything is counted in the corpus and stays distributed. One pass over the texts cuts them into blocks of about ``BLOCK``
+bytes and writes the texts with their block's number, and of each block its distinct grams and words with training counts,
+sorted and packed, in ``BUCKETS`` buckets by the two newest bytes of context (words: by hash). Counts of a bucket are added up
+over groups of blocks, then over groups of groups; each bucket's subtrees of two bytes of context are weighted in one task
+(their size depends on DEPTH, not on the corpus), the two top levels (256 contexts at most) on the driver; then each bucket's
+probabilities go back to the groups of blocks, and so to the texts. A word is known by a 64-bit hash.
 
 Defined results: a null or empty text is coded as its end alone; a null id never trains ("not held out" needs an id); a
 table without training rows gives each decision one half; repeated rows count each time; other columns of the input are
@@ -20,18 +22,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, durable, partitions_for, slices, text_buffers, word_hashes, word_spans
+from ._common import LOWER, durable, id_and, mix64, shared_path, slices, text_buffers, word_hashes, word_spans
 
 DEPTH = 5
-#: Documents of a block.
-BLOCK = 6144
-#: Distinct grams of a group of subtrees, about.
-GROUP = 300_000
-GRAM, WORD = 0, 1
+#: Bytes of text of a block, about (a longer text stands alone), and of what is sorted at once.
+BLOCK = 12 << 20
+SLICE = 1 << 22
+#: Buckets of grams, by the two newest bytes of context, and of words.
+BUCKETS, WORDS = 256, 16
+#: Blocks whose counts are added up at once, about.
+FAN = 48
 
 
 def log_gamma_half(n: np.ndarray) -> np.ndarray:
@@ -159,114 +165,234 @@ def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray
 
 
 def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k, back = np.unique(keys, return_inverse=True)
-    return k, np.bincount(back.ravel(), weights=train, minlength=len(k)).astype(np.int64)
+    """Sorted distinct keys and how often each stands where ``train`` holds."""
+    train = train.astype(bool)
+    seen, other = np.sort(keys[train]), np.sort(keys[~train])
+    begin, alone = (np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64) for x in (seen, other))
+    return _added([(seen[begin], np.diff(np.append(begin, len(seen)))), (other[alone], np.zeros(len(alone), np.int64))])
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of sorted parts, with their counts added up."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[begin], np.add.reduceat(n, begin)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array as bytes: planes of equally significant bytes, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def _needs(data: np.ndarray, offsets: np.ndarray, trains: np.ndarray, depth: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, keys, counts) of the distinct grams and words of the texts, counts from those that train."""
+    found: list[list] = [[], []]
+    for i, j in slices(offsets, SLICE):
+        raw, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        part = LOWER[raw]
+        starts, ends, first = word_spans(part, offs)
+        found[1].append(_counted(word_hashes(part, starts, ends), np.repeat(trains[i:j], np.diff(first))))
+        g, at = grams(raw, offs, depth)
+        found[0].append(_counted(g, np.repeat(trains[i:j], np.diff(at))))
+    for kind, parts in enumerate(found):
+        keys, n = _added(parts)
+        bucket = keys % np.uint64(WORDS) + np.uint64(BUCKETS) if kind else mix64(keys >> np.uint64(8 * (depth - 1))) % np.uint64(BUCKETS)
+        order = np.argsort(bucket, kind="stable")
+        keys, n, bucket = keys[order], n[order], bucket[order]
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else [0]
+        for a, z in zip(edge[:-1], edge[1:]):
+            yield int(bucket[a]), pack_sorted(keys[a:z]), pack(n[a:z])
+
+
+def blocks(docs: DataFrame, depth: int) -> DataFrame:
+    """The texts (kind T: doc_id, held_out, text) and the needs (kind N: bucket, keys, counts) of each block, as one table."""
+    schema = id_and(docs, "kind string, block long, held_out boolean, text string, bucket int, keys binary, counts binary")
+    types = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        block, held, size = (context.partitionId() << 32) if context else 0, [], 0
+
+        def rows(ids: pa.Array, kind: str, **columns) -> pa.RecordBatch:
+            n = len(ids)
+            given = {"kind": pa.array([kind] * n), "block": pa.array(np.full(n, block)), **columns}
+            return pa.RecordBatch.from_arrays([ids, *(given[f.name].cast(f.type) if f.name in given else pa.nulls(n, f.type) for f in types)], schema.names)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            texts = [b.column(2) for b in held]
+            data, offsets = text_buffers(pa.concat_arrays(texts))
+            trains = ~np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held]).astype(bool)
+            for b in held:
+                yield rows(b.column(0), "T", held_out=b.column(1), text=b.column(2))
+            bucket, keys, counts = zip(*_needs(data, offsets, trains, depth))
+            yield rows(pa.nulls(len(bucket), held[0].column(0).type), "N", bucket=pa.array(bucket, pa.int32()), keys=pa.array(keys, pa.binary()), counts=pa.array(counts, pa.binary()))
 
+        for b in batches:
+            _, offsets = text_buffers(b.column(2))
+            a = 0
+            while a < b.num_rows:
+                z = max(int(np.searchsorted(offsets, offsets[a] + BLOCK - size, "right")) - 1, a if held else a + 1)
+                if z > a:
+                    held.append(b.slice(a, z - a))
+                    size += int(offsets[z] - offsets[a])
+                if z < b.num_rows:
+                    yield from done()
+                    block, held, size = block + 1, [], 0
+                a = z
+        if held:
+            yield from done()
+
+    made = docs.select("doc_id", "held_out", "text").mapInArrow(cut, schema)
+    path = shared_path(docs.sparkSession, "blocks")
+    made.write.partitionBy("kind").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
+
+def _rows(columns: dict) -> pa.Table:
+    return pa.table({k: pa.array(v, pa.binary() if k in ("keys", "counts", "values") else pa.int64()) for k, v in columns.items()})
+
+
+def added_counts(needs: DataFrame) -> DataFrame:
+    """(bucket, keys, counts): one row for each bucket, counts of all blocks added up by groups of groups of blocks."""
+
+    def add(table):
+        parts = [(unpack_sorted(k), unpack(c, np.int64)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist())]
+        keys, n = _added(parts)
+        return _rows({"bucket": [table.column("bucket")[0].as_py()], "part": [table.column("part")[0].as_py()], "keys": [pack_sorted(keys)], "counts": [pack(n)]})
 
-def block_needs(blocks: DataFrame, depth: int) -> DataFrame:
-    """(block, kind, key, n): the distinct grams and words of each block (of a batch), with their training counts."""
+    rows, parts = needs.select("bucket", F.col("block").alias("part"), "keys", "counts"), needs.select("block").distinct().count()
+    while True:
+        parts = -(-parts // FAN)
+        put = F.pmod(F.xxhash64("part"), F.lit(max(parts, 1)))
+        rows = durable(rows.withColumn("part", put).groupBy("bucket", "part").applyInArrow(add, "bucket long, part long, keys binary, counts binary"), "counts")
+        if parts <= 1:
+            return rows.select("bucket", "keys", "counts")
 
-    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _tree(keys: np.ndarray, n: np.ndarray, depth: int):
+    order = np.argsort(keys, kind="stable")
+    return keys[order], levels(keys[order], n[order], depth, 2)
+
+
+def bucket_values(counts: DataFrame, depth: int) -> DataFrame:
+    """(bucket, keys, values): of each gram the natural log of its probability, of each word its count."""
+
+    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            block, trains = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-            data, offsets = text_buffers(b.column(2))
-            for k in np.unique(block):
-                rows = np.flatnonzero(block == k)
-                a, z = rows[0], rows[-1] + 1
-                parts: dict[int, list] = {GRAM: [], WORD: []}
-                for i, j in slices(offsets[a : z + 1], 1 << 22):
-                    i, j = i + a, j + a
-                    part, offs = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-                    starts, ends, first = word_spans(part, offs)
-                    parts[WORD].append(_counted(word_hashes(part, starts, ends), np.repeat(trains[i:j], np.diff(first))))
-                    g, at = grams(data[offsets[i] : offsets[j]], offs, depth)
-                    parts[GRAM].append(_counted(g, np.repeat(trains[i:j], np.diff(at))))
-                for kind, found in parts.items():
-                    key, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                    n = np.bincount(back.ravel(), weights=np.concatenate([f[1] for f in found]), minlength=len(key)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k)), pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["block", "kind", "key", "n"])
-
-    return blocks.select("block", "trains", "text").mapInArrow(needs, "block long, kind int, key long, n long")
-
-
-def _sorted_grams(table) -> tuple[np.ndarray, np.ndarray]:
-    key, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
-
-
-def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
-    """(key, value): natural log of each gram's probability. ``counts``: (key, n) of all grams, n from training."""
-    groups = max(partitions_for(counts), counts.count() // GROUP)
-    pair = F.shiftrightunsigned("key", 8 * (depth - 1))
-    grouped = counts.withColumn("group", F.pmod(F.xxhash64(pair), F.lit(groups))).groupBy("group")
-
-    def upper(table):
-        key, n = _sorted_grams(table)
-        _, nodes = levels(key, n, depth, 2)[2]
-        cell = np.concatenate([(v.ids >> np.uint64(b + 8) << np.uint64(8)) | np.uint64(1 << b) | (v.ids & np.uint64((1 << b) - 1)) for b, v in enumerate(nodes)])
-        k, back = np.unique(cell, return_inverse=True)
-        add = lambda name: np.bincount(back.ravel(), weights=np.concatenate([getattr(v, name) for v in nodes]), minlength=len(k))
-        return pa.table({"c": (k >> np.uint64(8)).astype(np.int64), "node": (k & np.uint64(255)).astype(np.int64), "zeros": add("zeros").astype(np.int64), "ones": add("ones").astype(np.int64), "weighted": add("weighted")})
-
-    tops = grouped.applyInArrow(upper, "c long, node long, zeros long, ones long, weighted double").groupBy("c", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()  # 256 * 255 rows at most
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                _, tree = _tree(unpack_sorted(k), unpack(c, np.int64), depth)
+                nodes = tree[2][1]
+                cell = np.concatenate([(v.ids >> np.uint64(i + 8) << np.uint64(8)) | np.uint64(1 << i) | (v.ids & np.uint64((1 << i) - 1)) for i, v in enumerate(nodes)])
+                at, back = np.unique(cell, return_inverse=True)
+                add = lambda name: np.bincount(back.ravel(), weights=np.concatenate([getattr(v, name) for v in nodes]), minlength=len(at))  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({"c": (at >> np.uint64(8)).astype(np.int64), "node": (at & np.uint64(255)).astype(np.int64), "zeros": add("zeros").astype(np.int64), "ones": add("ones").astype(np.int64), "weighted": add("weighted")})
+
+    of_grams = counts.where(F.col("bucket") < BUCKETS).select("keys", "counts")
+    tops = of_grams.mapInArrow(upper, "c long, node long, zeros long, ones long, weighted double").groupBy("c", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()  # 256 * 255 rows at most
     above = counts.sparkSession.sparkContext.broadcast(top_tables([tuple(r) for r in tops]))
 
-    def score(table):
-        key, n = _sorted_grams(table)
-        value = mixed(key, levels(key, n, depth, 2), depth, 2, above.value)
-        return pa.table({"key": pa.array(key.view(np.int64)), "value": pa.array(value)})
-
-    return grouped.applyInArrow(score, "key long, value double")
-
-
-def scores(docs: DataFrame, held_out, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
-
-    ``docs`` is read twice and must give its rows in the same order, as a stored table does. ``held_out``: a column."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    blocks = docs.withColumn("block", F.floor(F.monotonically_increasing_id() / block).cast("long")).withColumn("trains", (~F.col("held_out")).cast("double"))
-    needs = durable(block_needs(blocks, depth), "needs")
-    counts = durable(needs.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    word = counts.where(F.col("kind") == WORD)
-    met = word.where("n > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    ends = blocks.where("not held_out").count()
-    total, distinct = int(met["n"]) + ends, int(met["v"]) + (ends > 0)
-    values = word.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(gram_scores(counts.where(F.col("kind") == GRAM).select("key", "n"), depth).select(F.lit(GRAM).alias("kind"), "key", "value"))
-    served = needs.select("block", "kind", "key").join(durable(values, "values"), ["kind", "key"]).select("block", "kind", "key", "value")
-
-    def score(texts, known):
-        if not texts.num_rows:
-            return _empty(texts)
-        kind, key, value = known.column("kind").to_numpy(), known.column("key").to_numpy().view(np.uint64), known.column("value").to_numpy()
-        tables = {}
-        for k in (GRAM, WORD):
-            own = kind == k
-            keys, at = np.unique(key[own], return_index=True)  # a block that spans two batches names some keys twice
-            tables[k] = keys, value[own][at]
-        data, offsets = text_buffers(texts.column("text"))
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        logs = lambda c: np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        for i, j in slices(offsets, 1 << 22):
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, k, c in zip(*(x.to_pylist() for x in b.columns)):
+                keys, values = unpack_sorted(k), unpack(c, np.int64).astype(np.float64)
+                if bucket < BUCKETS:
+                    _, tree = _tree(keys, values.astype(np.int64), depth)
+                    values = mixed(keys, tree, depth, 2, above.value)
+                yield _rows({"bucket": [bucket], "keys": [k], "values": [pack(values.astype(np.float32))]}).to_batches()[0]
+
+    return counts.select("bucket", "keys", "counts").mapInArrow(value, "bucket long, keys binary, values binary")
+
+
+def served(needs: DataFrame, values: DataFrame) -> DataFrame:
+    """(block, words, keys, values): to each block the values of its own keys. ``words``: whether they are words."""
+    groups = max(-(-needs.select("block").distinct().count() // FAN), 1)
+    left = needs.select("block", "bucket", "keys", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("part"))
+    right = values.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def serve(wanted, known):
+        out: dict[str, list] = {"block": [], "words": [], "keys": [], "values": []}
+        if wanted.num_rows:
+            keys, value = unpack_sorted(known.column("keys")[0].as_py()), unpack(known.column("values")[0].as_py(), np.float32)
+            for block, bucket, own in zip(*(wanted.column(c).to_pylist() for c in ("block", "bucket", "keys"))):
+                at = np.searchsorted(keys, mine := unpack_sorted(own))
+                if len(mine) and (at[-1] >= len(keys) or (keys[at] != mine).any()):
+                    raise ValueError("a block has keys that were not counted")
+                for c, v in zip(out.values(), (block, int(bucket >= BUCKETS), own, pack(value[at]))):
+                    c.append(v)
+        return _rows(out)
+
+    return left.groupBy("bucket", "part").cogroup(right.groupBy(F.col("bucket").cast("int"), "part")).applyInArrow(serve, "block long, words long, keys binary, values binary")
+
+
+def _lookup(rows: list[tuple[bytes, bytes]]):
+    """A function from keys to their values; all keys must be there."""
+    keys = pd.Index(np.concatenate([unpack_sorted(k) for k, _ in rows]) if rows else np.zeros(0, np.uint64))
+    values = np.concatenate([unpack(v, np.float32) for _, v in rows]) if rows else np.zeros(0, np.float32)
+
+    def of(wanted: np.ndarray) -> np.ndarray:
+        at = keys.get_indexer(wanted)
+        if (at < 0).any():
+            raise ValueError("a text has grams or words that its block did not report")
+        return values[at].astype(np.float64)
+
+    return of
+
+
+def scores(docs: DataFrame, held_out, depth: int = DEPTH) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row. ``held_out``: a column."""
+    docs = docs.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    every = blocks(docs, depth)
+    texts, needs = every.where("kind = 'T'").select("block", "doc_id", "held_out", "text"), every.where("kind = 'N'").select("block", "bucket", "keys", "counts")
+    counts = added_counts(needs)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [unpack(c, np.int64) for c in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"v": [int((x > 0).sum()) for x in n], "n": [int(x.sum()) for x in n]})
+
+    words = counts.where(F.col("bucket") >= BUCKETS).select("counts").mapInArrow(met, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    ends = texts.where("not held_out").count()
+    total, distinct = int(words["n"]) + ends, int(words["v"]) + (ends > 0)
+    known = served(needs, durable(bucket_values(counts, depth), "values"))
+    schema = id_and(docs, "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    logs = lambda c: np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+
+    def score(own, found):
+        rows = list(zip(*(found.column(c).to_pylist() for c in ("words", "keys", "values"))))
+        gram, word = (_lookup([(k, v) for w, k, v in rows if w == kind]) for kind in (0, 1))
+        data, offsets = text_buffers(own.column("text"))
+        cols: list[list[np.ndarray]] = [[np.zeros(0)] for _ in range(4)]
+        for i, j in slices(offsets, SLICE):
             offs = offsets[i : j + 1] - offsets[i]
-            part = LOWER[data[offsets[i] : offsets[j]]]
+            raw = data[offsets[i] : offsets[j]]
+            part = LOWER[raw]
             starts, ends_, first = word_spans(part, offs)
-            h = word_hashes(part, starts, ends_)
-            c = tables[WORD][1][np.searchsorted(tables[WORD][0], h)] if len(h) else np.zeros(0)
+            c = word(word_hashes(part, starts, ends_))
             sums = lambda x, at: np.diff(np.concatenate([[0.0], np.cumsum(x)])[at])
-            g, at = grams(data[offsets[i] : offsets[j]], offs, depth)
-            cols[0].append(np.diff(first) + 1)
-            cols[1].append(sums(c > 0, first).astype(np.int64) + (ends > 0))
-            cols[2].append(sums(logs(c), first) + logs(float(ends)))
-            cols[3].append(sums(tables[GRAM][1][np.searchsorted(tables[GRAM][0], g)], at) / np.log(10))
-        n_tokens, n_known, base, own = map(np.concatenate, cols)
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(base), total), "base_score": base, "score": own})
-
-    id_kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def _empty(texts):
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}})
-
-    left = blocks.select("block", "doc_id", "held_out", "text")
-    return left.groupBy("block").cogroup(served.groupBy("block")).applyInArrow(score, schema)
+            g, at = grams(raw, offs, depth)
+            for col, v in zip(cols, (np.diff(first) + 1, sums(c > 0, first) + (ends > 0), sums(logs(c), first) + logs(float(ends)), sums(gram(g), at) / np.log(10))):
+                col.append(v)
+        n_tokens, n_known, base, total_log = map(np.concatenate, cols)
+        bits = -total_log * np.log2(10) / (np.diff(offsets) + 1)
+        return pa.Table.from_arrays([own.column("doc_id"), own.column("held_out"), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(base), total)), pa.array(base), pa.array(total_log), pa.array(bits)], schema.names)
+
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -172,8 +173,60 @@ def test_sharding_hot_group(spark):
     assert np.mean([len(h) == 1 for h in homes.values()]) > 0.7
 
 
-def test_context_trees(docs, by_id, spark):
-    rows = ctw.scores(docs, toxicity.remainder(10) == 0, depth=3, block=7).collect()
+def brute_context_tree(train, depth):
+    """log10 of a text's probability by the recursion, node by node: a node is (context bytes, newest first; bits so far)."""
+    counts = {}
+
+    def steps(text):
+        data = b"\0" * depth + text + b"\0"
+        for i in range(depth, len(data)):
+            context, bits = data[i - depth : i][::-1], f"{data[i]:08b}"
+            for k in range(8):
+                yield context, bits[:k], int(bits[k])
+
+    for text in train:
+        for context, so_far, bit in steps(text):
+            for d in range(depth + 1):
+                counts.setdefault((context[:d], so_far), [0, 0])[bit] += 1
+    below = collections.defaultdict(list)
+    for context, so_far in counts:
+        if context:
+            below[context[:-1], so_far].append((context, so_far))
+    kt = lambda n: math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(n[0] + n[1] + 1)
+    weighted = {}
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        own = kt(counts[node])
+        weighted[node] = own if len(node[0]) == depth else np.logaddexp(own, sum(weighted[c] for c in below[node])) + math.log(0.5)
+
+    def score(text):
+        total = 0.0
+        for context, so_far, bit in steps(text):
+            p = None
+            for d in range(depth, -1, -1):
+                node = context[:d], so_far
+                if node in counts:
+                    here = (counts[node][bit] + 0.5) / (sum(counts[node]) + 1)
+                    share = math.exp(math.log(0.5) + kt(counts[node]) - weighted[node]) if d < depth else 0.5
+                    p = here if p is None else share * here + (1 - share) * p
+            total += math.log10(0.5 if p is None else p)
+        return total
+
+    return score
+
+
+def test_context_trees(docs, by_id, spark, monkeypatch):
+    monkeypatch.setattr(ctw, "BLOCK", 3000)  # several blocks, and counts added up in two rounds
+    monkeypatch.setattr(ctw, "FAN", 3)
+    rows = ctw.scores(docs, toxicity.remainder(10) == 0, depth=3).collect()
+    score = brute_context_tree([x.encode() for i, x in by_id if i is not None and zlib.crc32(str(i).encode()) % 10], 3)
+    want = collections.defaultdict(set)
+    for i, x in by_id:
+        if len(x) < 5000:
+            want[i].add(round(score(x.encode()), 3))
+    for r in rows:
+        if want[r["doc_id"]]:
+            assert min(abs(r["score"] - w) for w in want[r["doc_id"]]) < 2e-3
+        assert r["bits_per_byte"] > 0
     train = collections.Counter()
     ends = 0
     for i, x in by_id:
