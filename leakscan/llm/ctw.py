@@ -83,37 +83,41 @@ class Level:
         return np.exp(np.log(0.5) + self.kt - self.weighted)
 
 
-def levels(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> dict[int, tuple[np.ndarray, list[Level]]]:
-    """For depths ``depth`` down to ``top``: sorted keys (newest context byte first, then the symbol) and the nodes, weighted."""
-    out: dict[int, tuple[np.ndarray, list[Level]]] = {}
+def by_depth(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For depths ``depth`` down to ``top``: the sorted keys (newest context byte first, then the symbol) of sorted ``keys``
+    cut to it, their counts, and the place of each of ``keys`` among them."""
+    out = {}
     for d in range(depth, top - 1, -1):
         cut = np.uint64(8 * (depth - d + 1))
         k, back = np.unique((keys >> cut << np.uint64(8)) | (keys & np.uint64(255)), return_inverse=True)
-        c = np.bincount(back.ravel(), weights=counts, minlength=len(k)).astype(np.int64)
-        nodes = [Level(k, c, b) for b in range(8)]
-        if d < depth:
-            for b, (mine, child) in enumerate(zip(nodes, out[d + 1][1])):
-                bits = np.uint64(b)
-                parent = (child.ids >> bits >> np.uint64(8) << bits) | (child.ids & np.uint64((1 << b) - 1))
-                below = np.bincount(np.searchsorted(mine.ids, parent), weights=child.weighted, minlength=len(mine.ids))
-                mine.weighted = np.logaddexp(np.log(0.5) + mine.kt, np.log(0.5) + below)
-        out[d] = (k, nodes)
+        out[d] = k, np.bincount(back.ravel(), weights=counts, minlength=len(k)).astype(np.int64), back.ravel()
     return out
 
 
-def mixed(keys: np.ndarray, tree: dict[int, tuple[np.ndarray, list[Level]]], depth: int, top: int, above: list[np.ndarray] | None = None) -> np.ndarray:
-    """Natural log of each key's symbol's probability. ``above``: for each bit, the two upper depths' (own weight,
-    estimate of a one) by context byte and bits so far, as made by ``top_tables``."""
-    total = np.zeros(len(keys))
+def bit_levels(cut: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], bit: int) -> dict[int, Level]:
+    """The weighted nodes of one bit position, whose context tree is one of its own, at each depth of ``cut``."""
+    out: dict[int, Level] = {}
+    for d in sorted(cut, reverse=True):
+        mine = out[d] = Level(*cut[d][:2], bit)
+        if d + 1 in out:
+            child, bits = out[d + 1], np.uint64(bit)
+            parent = (child.ids >> bits >> np.uint64(8) << bits) | (child.ids & np.uint64((1 << bit) - 1))
+            below = np.bincount(np.searchsorted(mine.ids, parent), weights=child.weighted, minlength=len(mine.ids))
+            mine.weighted = np.logaddexp(np.log(0.5) + mine.kt, np.log(0.5) + below)
+    return out
+
+
+def mixed(keys: np.ndarray, counts: np.ndarray, depth: int, top: int, above: list[np.ndarray] | None = None) -> np.ndarray:
+    """Natural log of the probability of each of the sorted ``keys``' symbols. ``above``: for each bit, the two upper depths'
+    (zeros, ones, own weight) by context byte and bits so far, as made by ``top_tables``."""
+    cut, total = by_depth(keys, counts, depth, top), np.zeros(len(keys))
     for b in range(8):
+        nodes = bit_levels(cut, b)
         bit = ((keys >> np.uint64(7 - b)) & np.uint64(1)).astype(np.int64)
         p, met = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
         for d in range(depth, top - 1, -1):
-            k, nodes = tree[d]
-            cut = np.uint64(8 * (depth - d + 1))
-            at = nodes[b].at[np.searchsorted(k, (keys >> cut << np.uint64(8)) | (keys & np.uint64(255)))]
-            n0, n1, own = nodes[b].zeros[at], nodes[b].ones[at], nodes[b].own[at]
-            p, met = _step(p, met, n0, n1, own, bit)
+            at = nodes[d].at[cut[d][2]]
+            p, met = _step(p, met, nodes[d].zeros[at], nodes[d].ones[at], nodes[d].own[at], bit)
         if above is not None:
             so_far = ((keys & np.uint64(255)) >> np.uint64(8 - b)).astype(np.int64) | (1 << b)
             newest = (keys >> np.uint64(8 * depth)).astype(np.int64)
@@ -124,6 +128,18 @@ def mixed(keys: np.ndarray, tree: dict[int, tuple[np.ndarray, list[Level]]], dep
     return total
 
 
+def top_nodes(keys: np.ndarray, counts: np.ndarray, depth: int) -> dict[str, np.ndarray]:
+    """Sums of the depth-2 nodes over the older context byte: c (the newest), node (bits so far, a one before), zeros, ones, weighted."""
+    cut, out = by_depth(keys, counts, depth, 2), []
+    for b in range(8):
+        v = bit_levels(cut, b)[2]
+        cell = (v.ids >> np.uint64(b + 8) << np.uint64(8)) | np.uint64(1 << b) | (v.ids & np.uint64((1 << b) - 1))
+        at, back = np.unique(cell, return_inverse=True)
+        sums = [np.bincount(back.ravel(), weights=x, minlength=len(at)) for x in (v.zeros, v.ones, v.weighted)]
+        out.append(((at >> np.uint64(8)).astype(np.int64), (at & np.uint64(255)).astype(np.int64), sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2]))
+    return dict(zip(("c", "node", "zeros", "ones", "weighted"), map(np.concatenate, zip(*out))))
+
+
 def _step(p, met, n0, n1, own, bit):
     kt = (np.where(bit == 1, n1, n0) + 0.5) / (n0 + n1 + 1.0)
     here = n0 + n1 > 0
@@ -288,9 +304,8 @@ def added_counts(needs: DataFrame) -> DataFrame:
             return rows.select("bucket", "keys", "counts")
 
 
-def _tree(keys: np.ndarray, n: np.ndarray, depth: int):
-    order = np.argsort(keys, kind="stable")
-    return keys[order], levels(keys[order], n[order], depth, 2)
+def _by_key(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return unpack_sorted(keys), unpack(counts, np.int64)
 
 
 def bucket_values(counts: DataFrame, depth: int) -> DataFrame:
@@ -299,12 +314,7 @@ def bucket_values(counts: DataFrame, depth: int) -> DataFrame:
     def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                _, tree = _tree(unpack_sorted(k), unpack(c, np.int64), depth)
-                nodes = tree[2][1]
-                cell = np.concatenate([(v.ids >> np.uint64(i + 8) << np.uint64(8)) | np.uint64(1 << i) | (v.ids & np.uint64((1 << i) - 1)) for i, v in enumerate(nodes)])
-                at, back = np.unique(cell, return_inverse=True)
-                add = lambda name: np.bincount(back.ravel(), weights=np.concatenate([getattr(v, name) for v in nodes]), minlength=len(at))  # noqa: B023, E731
-                yield pa.RecordBatch.from_pydict({"c": (at >> np.uint64(8)).astype(np.int64), "node": (at & np.uint64(255)).astype(np.int64), "zeros": add("zeros").astype(np.int64), "ones": add("ones").astype(np.int64), "weighted": add("weighted")})
+                yield pa.RecordBatch.from_pydict(top_nodes(*_by_key(k, c), depth))
 
     of_grams = counts.where(F.col("bucket") < BUCKETS).select("keys", "counts")
     tops = of_grams.mapInArrow(upper, "c long, node long, zeros long, ones long, weighted double").groupBy("c", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()  # 256 * 255 rows at most
@@ -313,10 +323,8 @@ def bucket_values(counts: DataFrame, depth: int) -> DataFrame:
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, k, c in zip(*(x.to_pylist() for x in b.columns)):
-                keys, values = unpack_sorted(k), unpack(c, np.int64).astype(np.float64)
-                if bucket < BUCKETS:
-                    _, tree = _tree(keys, values.astype(np.int64), depth)
-                    values = mixed(keys, tree, depth, 2, above.value)
+                keys, n = _by_key(k, c)
+                values = mixed(keys, n, depth, 2, above.value) if bucket < BUCKETS else n
                 yield _rows({"bucket": [bucket], "keys": [k], "values": [pack(values.astype(np.float32))]}).to_batches()[0]
 
     return counts.select("bucket", "keys", "counts").mapInArrow(value, "bucket long, keys binary, values binary")

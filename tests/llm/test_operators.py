@@ -262,16 +262,18 @@ def test_context_tree_is_a_distribution():
     keys = np.union1d(k, every)
     counts = np.zeros(len(keys), np.int64)
     counts[np.searchsorted(keys, k)] = n
-    tree = ctw.levels(keys, counts, 3, 0)
-    p = np.exp(ctw.mixed(every, tree, 3, 0))
+    of = np.searchsorted(keys, every)
+    p = np.exp(ctw.mixed(keys, counts, 3, 0)[of])
     assert all(abs(p[(every >> np.uint64(8)) == c].sum() - 1) < 1e-9 for c in np.unique(every >> np.uint64(8)))
-    split = ctw.levels(keys, counts, 3, 2)
-    rows = [(int(i) >> (b + 8), 1 << b | int(i) & ((1 << b) - 1), z, o, w) for b, v in enumerate(split[2][1]) for i, z, o, w in zip(v.ids, v.zeros, v.ones, v.weighted)]
+    cut = ctw.by_depth(keys, counts, 3, 2)
+    rows = [(int(i) >> (b + 8), 1 << b | int(i) & ((1 << b) - 1), z, o, w) for b in range(8) for v in [ctw.bit_levels(cut, b)[2]] for i, z, o, w in zip(v.ids, v.zeros, v.ones, v.weighted)]
     sums = collections.defaultdict(lambda: [0, 0, 0.0])
     for c, node, z, o, w in rows:
         sums[c, node] = [sums[c, node][0] + z, sums[c, node][1] + o, sums[c, node][2] + w]
     above = ctw.top_tables([(c, node, *v) for (c, node), v in sums.items()])
-    assert np.allclose(ctw.mixed(every, split, 3, 2, above), np.log(p))
+    assert np.allclose(ctw.mixed(keys, counts, 3, 2, above)[of], np.log(p))
+    found = ctw.top_nodes(keys, counts, 3)
+    assert {(c, n): [z, o, w] for c, n, z, o, w in zip(*(found[x].tolist() for x in ("c", "node", "zeros", "ones", "weighted")))} == {k: pytest.approx(v) for k, v in sums.items()}
 
 
 def test_jaccard(docs, empty, by_id, monkeypatch):
