@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._common import LOWER, durable, id_and, mix64, shared_path, slices, text_buffers, word_hashes, word_spans
 
@@ -34,6 +36,8 @@ DEPTH = 5
 #: Bytes of text of a block, about (a longer text stands alone), and of what is sorted at once.
 BLOCK = 12 << 20
 SLICE = 1 << 22
+#: Bytes of text that are packed together, about.
+RUN = 1 << 19
 #: Buckets of grams, by the two newest bytes of context, and of words.
 BUCKETS, WORDS = 256, 16
 #: Blocks whose counts are added up at once, about.
@@ -240,27 +244,28 @@ def _needs(data: np.ndarray, offsets: np.ndarray, trains: np.ndarray, depth: int
 
 
 def blocks(docs: DataFrame, depth: int) -> DataFrame:
-    """The texts (kind T: doc_id, held_out, text) and the needs (kind N: bucket, keys, counts) of each block, as one table."""
-    schema = id_and(docs, "kind string, block long, held_out boolean, text string, bucket int, keys binary, counts binary")
-    types = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    """The texts (kind T: ids, held_out, sizes, texts of a run of documents, packed) and the needs (kind N: bucket, keys,
+    counts) of each block, as one table."""
+    ids = T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType))
+    schema = T.StructType([ids, *T.StructType.fromDDL("kind string, block long, held_out array<boolean>, sizes binary, texts binary, bucket int, keys binary, counts binary").fields])
+    types = to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         block, held, size = (context.partitionId() << 32) if context else 0, [], 0
 
-        def rows(ids: pa.Array, kind: str, **columns) -> pa.RecordBatch:
-            n = len(ids)
-            given = {"kind": pa.array([kind] * n), "block": pa.array(np.full(n, block)), **columns}
-            return pa.RecordBatch.from_arrays([ids, *(given[f.name].cast(f.type) if f.name in given else pa.nulls(n, f.type) for f in types)], schema.names)
+        def rows(n: int, kind: str, **columns) -> pa.RecordBatch:
+            given = {"kind": [kind] * n, "block": [block] * n, **columns}
+            return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in types], schema.names)
 
         def done() -> Iterator[pa.RecordBatch]:
-            texts = [b.column(2) for b in held]
-            data, offsets = text_buffers(pa.concat_arrays(texts))
-            trains = ~np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held]).astype(bool)
-            for b in held:
-                yield rows(b.column(0), "T", held_out=b.column(1), text=b.column(2))
-            bucket, keys, counts = zip(*_needs(data, offsets, trains, depth))
-            yield rows(pa.nulls(len(bucket), held[0].column(0).type), "N", bucket=pa.array(bucket, pa.int32()), keys=pa.array(keys, pa.binary()), counts=pa.array(counts, pa.binary()))
+            data, offsets = text_buffers(pa.concat_arrays([b.column(2) for b in held]))
+            own, out = pa.concat_arrays([b.column(0) for b in held]), np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held]).astype(bool)
+            for i, j in slices(offsets, RUN):
+                texts = pa.compress(data[offsets[i] : offsets[j]].tobytes(), codec="zstd", asbytes=True)
+                yield rows(1, "T", ids=[own[i:j].to_pylist()], held_out=[out[i:j].tolist()], sizes=[pack(np.diff(offsets[i : j + 1]))], texts=[texts])
+            bucket, keys, counts = zip(*_needs(data, offsets, ~out, depth))
+            yield rows(len(bucket), "N", bucket=bucket, keys=keys, counts=counts)
 
         for b in batches:
             _, offsets = text_buffers(b.column(2))
@@ -369,7 +374,7 @@ def scores(docs: DataFrame, held_out, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row. ``held_out``: a column."""
     docs = docs.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     every = blocks(docs, depth)
-    texts, needs = every.where("kind = 'T'").select("block", "doc_id", "held_out", "text"), every.where("kind = 'N'").select("block", "bucket", "keys", "counts")
+    texts, needs = every.where("kind = 'T'").select("block", "ids", "held_out", "sizes", "texts"), every.where("kind = 'N'").select("block", "bucket", "keys", "counts")
     counts = added_counts(needs)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,29 +383,30 @@ def scores(docs: DataFrame, held_out, depth: int = DEPTH) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"v": [int((x > 0).sum()) for x in n], "n": [int(x.sum()) for x in n]})
 
     words = counts.where(F.col("bucket") >= BUCKETS).select("counts").mapInArrow(met, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    ends = texts.where("not held_out").count()
+    ends = int(texts.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda x: ~x))), F.lit(0))).first()[0])
     total, distinct = int(words["n"]) + ends, int(words["v"]) + (ends > 0)
     known = served(needs, durable(bucket_values(counts, depth), "values"))
     schema = id_and(docs, "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     logs = lambda c: np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
 
+    flat = lambda lists: pa.chunked_array([x.flatten() for x in lists.chunks], lists.type.value_type)
+
     def score(own, found):
         rows = list(zip(*(found.column(c).to_pylist() for c in ("words", "keys", "values"))))
         gram, word = (_lookup([(k, v) for w, k, v in rows if w == kind]) for kind in (0, 1))
-        data, offsets = text_buffers(own.column("text"))
-        cols: list[list[np.ndarray]] = [[np.zeros(0)] for _ in range(4)]
-        for i, j in slices(offsets, SLICE):
-            offs = offsets[i : j + 1] - offsets[i]
-            raw = data[offsets[i] : offsets[j]]
+        cols: list[list[np.ndarray]] = [[np.zeros(0)] for _ in range(5)]
+        for sizes, packed in zip(own.column("sizes").to_pylist(), own.column("texts").to_pylist()):
+            offs = np.concatenate([[0], np.cumsum(unpack(sizes, np.int64))])
+            raw = np.frombuffer(pa.decompress(packed, decompressed_size=int(offs[-1]), codec="zstd", asbytes=True), np.uint8)
             part = LOWER[raw]
             starts, ends_, first = word_spans(part, offs)
             c = word(word_hashes(part, starts, ends_))
             sums = lambda x, at: np.diff(np.concatenate([[0.0], np.cumsum(x)])[at])
             g, at = grams(raw, offs, depth)
-            for col, v in zip(cols, (np.diff(first) + 1, sums(c > 0, first) + (ends > 0), sums(logs(c), first) + logs(float(ends)), sums(gram(g), at) / np.log(10))):
+            for col, v in zip(cols, (np.diff(first) + 1, sums(c > 0, first) + (ends > 0), sums(logs(c), first) + logs(float(ends)), sums(gram(g), at) / np.log(10), np.diff(offs) + 1)):
                 col.append(v)
-        n_tokens, n_known, base, total_log = map(np.concatenate, cols)
-        bits = -total_log * np.log2(10) / (np.diff(offsets) + 1)
-        return pa.Table.from_arrays([own.column("doc_id"), own.column("held_out"), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(base), total)), pa.array(base), pa.array(total_log), pa.array(bits)], schema.names)
+        n_tokens, n_known, base, total_log, n_bytes = map(np.concatenate, cols)
+        bits = -total_log * np.log2(10) / n_bytes
+        return pa.Table.from_arrays([*(flat(own.column(c)) for c in ("ids", "held_out")), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(base), total)), pa.array(base), pa.array(total_log), pa.array(bits)], schema.names)
 
     return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)
