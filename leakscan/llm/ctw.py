@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import LOWER, durable, id_and, mix64, shared_path, slices, text_buffers, word_hashes, word_spans
+from ._common import LOWER, durable, id_and, mix64, shared_path, slices, text_buffers, tidy, word_hashes, word_spans
 
 DEPTH = 5
 #: Bytes of text of a block, about (a longer text stands alone), and of what is sorted at once.
@@ -282,7 +282,7 @@ def blocks(docs: DataFrame, depth: int) -> DataFrame:
         if held:
             yield from done()
 
-    made = docs.select("doc_id", "held_out", "text").mapInArrow(cut, schema)
+    made = docs.select("doc_id", "held_out", "text").mapInArrow(tidy(cut), schema)
     path = shared_path(docs.sparkSession, "blocks")
     made.write.partitionBy("kind").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
@@ -322,7 +322,7 @@ def bucket_values(counts: DataFrame, depth: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(top_nodes(*_by_key(k, c), depth))
 
     of_grams = counts.where(F.col("bucket") < BUCKETS).select("keys", "counts")
-    tops = of_grams.mapInArrow(upper, "c long, node long, zeros long, ones long, weighted double").groupBy("c", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()  # 256 * 255 rows at most
+    tops = of_grams.mapInArrow(tidy(upper), "c long, node long, zeros long, ones long, weighted double").groupBy("c", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()  # 256 * 255 rows at most
     above = counts.sparkSession.sparkContext.broadcast(top_tables([tuple(r) for r in tops]))
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +332,7 @@ def bucket_values(counts: DataFrame, depth: int) -> DataFrame:
                 values = mixed(keys, n, depth, 2, above.value) if bucket < BUCKETS else n
                 yield _rows({"bucket": [bucket], "keys": [k], "values": [pack(values.astype(np.float32))]}).to_batches()[0]
 
-    return counts.select("bucket", "keys", "counts").mapInArrow(value, "bucket long, keys binary, values binary")
+    return counts.select("bucket", "keys", "counts").mapInArrow(tidy(value), "bucket long, keys binary, values binary")
 
 
 def served(needs: DataFrame, values: DataFrame) -> DataFrame:
@@ -382,7 +382,7 @@ def scores(docs: DataFrame, held_out, depth: int = DEPTH) -> DataFrame:
             n = [unpack(c, np.int64) for c in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"v": [int((x > 0).sum()) for x in n], "n": [int(x.sum()) for x in n]})
 
-    words = counts.where(F.col("bucket") >= BUCKETS).select("counts").mapInArrow(met, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    words = counts.where(F.col("bucket") >= BUCKETS).select("counts").mapInArrow(tidy(met), "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ends = int(texts.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda x: ~x))), F.lit(0))).first()[0])
     total, distinct = int(words["n"]) + ends, int(words["v"]) + (ends > 0)
     known = served(needs, durable(bucket_values(counts, depth), "values"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, id_and
+from ._common import durable, id_and, tidy
 
 END = b"\0\0\0\0"
 #: Encoded words a worker keeps in each of two generations: what the older one has and is met again moves to the newer.
@@ -115,7 +115,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFra
             out = [batch.column(0).take(pa.array(k, pa.int32())), *(pa.array(c, t) for c, t in zip(cols, names)), pa.array([part] * len(rows), pa.int32()), pa.array(cols[-1], pa.int64())]
             yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(pieces, schema)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(pieces), schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -188,7 +188,7 @@ def place(pieces: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> Data
             out = [first[k] + inside // each[k], offset[k] + inside % each[k] * n]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *map(pa.array, out)], schema.names)
 
-    return pieces.mapInArrow(placed, schema)
+    return pieces.mapInArrow(tidy(placed), schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and
+from ._common import id_and, tidy
 
 MARK = "▁"
 #: Encoded parts a worker keeps; beyond it the store starts anew.
@@ -175,7 +175,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
             got = [model.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.float64())], schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(encoded, schema)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(encoded), schema)
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
@@ -197,4 +197,4 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
                 rows.append((len(text.encode()), len(ids), int(bytes_[ids].sum()), score, zlib.crc32(packed), hashlib.sha256(back.encode()).hexdigest(), back == text))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds))], schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(digests, schema)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(digests), schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTE_CODE, durable, id_and, mix64, partitions_for, powers, text_buffers
+from ._common import BYTE_CODE, durable, id_and, mix64, partitions_for, powers, text_buffers, tidy
 
 LEAST = 400
 GRAM = 16
@@ -104,7 +104,7 @@ def text_segments(docs: DataFrame, least: int) -> DataFrame:
                 whole, one, n = np.unique(whole, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor[one], whole, n, key[one], first[one], count[one], at[one])], ["anchor", "segment", "n", "k", "first", "windows", "at"])
 
-    return docs.select("__k", F.col("text").cast("string")).mapInArrow(rows, "anchor long, segment long, n long, k long, first long, windows long, at long")
+    return docs.select("__k", F.col("text").cast("string")).mapInArrow(tidy(rows), "anchor long, segment long, n long, k long, first long, windows long, at long")
 
 
 def suffix_array(texts: list[bytes], starts: list[int]) -> list[tuple[int, int]]:
@@ -232,7 +232,7 @@ def _span_bytes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                     rows += [(*(s[f] for f in fields), text[s["first"] : s["end"]]) for s in spans]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * len(fields) + [pa.binary()])], [*fields, "bytes"])
 
-    return docs.select("__k", "text").join(each, "__k").select(F.col("text").cast("string"), "spans").mapInArrow(cut, ", ".join(f"{f} long" for f in fields) + ", bytes binary")
+    return docs.select("__k", "text").join(each, "__k").select(F.col("text").cast("string"), "spans").mapInArrow(tidy(cut), ", ".join(f"{f} long" for f in fields) + ", bytes binary")
 
 
 def _blocks(rows: DataFrame, size: int, least: int) -> DataFrame:
@@ -256,7 +256,7 @@ def _blocks(rows: DataFrame, size: int, least: int) -> DataFrame:
                         j = stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 6 + [pa.binary()])], ["anchor", "segment", "n", "k", "first", "at", "bytes"])
 
-    found = rows.select("anchor", "n", "k", "first", "at", "bytes").mapInArrow(cut, "anchor long, segment long, n long, k long, first long, at long, bytes binary")
+    found = rows.select("anchor", "n", "k", "first", "at", "bytes").mapInArrow(tidy(cut), "anchor long, segment long, n long, k long, first long, at long, bytes binary")
     return found.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("k", "first", "at", "bytes")).alias("one")).select("anchor", "segment", "n", "one.*")
 
 
@@ -296,7 +296,7 @@ def unique_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = []
     for alone, grouped in array_groups(docs, segment_kinds(docs, least), least):
         found.append(alone.where("n = 1").select("k", F.col("first").alias("begin"), (F.col("first") + F.col("windows")).alias("end")))
-        found.append(grouped.mapInArrow(_group_unique(least), "k long, begin long, end long"))
+        found.append(grouped.mapInArrow(tidy(_group_unique(least)), "k long, begin long, end long"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -321,4 +321,4 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", w
                 yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, kind)], schema.names)
 
     joined = source.join(alone, "__k", "left").select(F.col("text").cast("string").alias("__text"), "__alone", *(F.col(f"`{n}`") for n in names))
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)

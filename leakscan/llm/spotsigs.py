@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, id_and, mix64, partitions_for, slices, text_buffers, word_hashes, word_spans
+from ._common import LOWER, id_and, mix64, partitions_for, slices, text_buffers, tidy, word_hashes, word_spans
 from .toxicity import BETWEEN
 
 #: Common words of the four languages of the corpus: chains skip them.
@@ -150,4 +150,4 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema_id = to_arrow_type(ordered.schema["doc_id"].dataType)
-    return ordered.select("bucket", "guest", "doc_id", "text").mapInArrow(with_next, schema)
+    return ordered.select("bucket", "guest", "doc_id", "text").mapInArrow(tidy(with_next), schema)

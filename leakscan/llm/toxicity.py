@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER, id_and, slices, text_buffers, word_hashes, word_spans
+from ._common import LOWER, id_and, slices, text_buffers, tidy, word_hashes, word_spans
 
 #: Labelled rows to learn from, at most (the first by a hash of their id); of each its whole text.
 SAMPLE_ROWS = 10_000
@@ -216,7 +216,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), *b.columns[1:]], ["tokens", "label", "lang", "at"])
 
     joined = have.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int"), "lang", "at")
-    got = joined.mapInArrow(tokens, "tokens array<long>, label int, lang string, at long").toArrow()
+    got = joined.mapInArrow(tidy(tokens), "tokens array<long>, label int, lang string, at long").toArrow()
     texts = [t.values.to_numpy() for t in got.column("tokens")]  # views: no number of them becomes an object
     rows = sorted(zip(got.column("at").to_pylist(), texts, got.column("label").to_pylist(), got.column("lang").to_pylist()), key=lambda r: (r[0], len(r[1])))
     return [(t, int(y == 1), lang or "") for _, t, y, lang in rows]
@@ -244,7 +244,7 @@ def score(docs: DataFrame, model: Calibrated, keep: list[str] | None = None) ->
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.concatenate(parts))], schema.names)
 
     more = [] if text < len(keep) else [F.col("text").cast("string").alias("__text")]
-    return docs.select(*keep, *more).mapInArrow(scored, schema)
+    return docs.select(*keep, *more).mapInArrow(tidy(scored), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
