@@ -197,6 +197,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFram
     counts = durable(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(counts.select("part", "length", before.alias("before")), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    earlier = counts.select("part", "length", before.alias("before")).hint("merge")  # a row for each task and length: it grows with the input
+    ranked = pieces.join(earlier, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return place(ranked, plan(histogram, capacity))
