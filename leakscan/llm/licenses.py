@@ -2,8 +2,8 @@
 
 A block is a run of neighbouring lines: from each line on, as many lines with words as it takes to have the notice's number
 of words behind the first line, so a notice wrapped over lines stands in the block of the line it starts in. A notice
-matches a block if at least ``THRESHOLD`` of the notice's distinct words are in the block. The words of the notices are ordered by how many documents have them, over all documents; a match must hold
-one of the notice's ``size - need + 1`` rarest words (prefix filter), have ``need`` words at least (length filter) and
+matches a block if at least ``THRESHOLD`` of the notice's distinct words are in the block. The words of the notices are
+ordered by how many documents have them, over all documents; a match must hold one of the notice's ``size - need + 1`` rarest words (prefix filter), have ``need`` words at least (length filter) and
 enough words left behind the first common one (positional filter); what remains is verified exactly. Only DataFrame
 functions are used. The notices are a constant of this module, so the broadcast side has a fixed size.
 
@@ -14,32 +14,50 @@ rows give repeated results; other columns of the input are not looked at.
 from __future__ import annotations
 
 import math
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import text_or_empty
+from .quality import let
 
 #: Phrase and label.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Notices by label, as their words appear (lower case, without punctuation).
+#: Notices by label, as their words appear (lower case, without punctuation). Statements of one line and
+#: the texts that projects put at the top of their files or into a licence file.
 NOTICES = [
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("lgpl", "this library is licensed under the gnu lesser general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
     ("agpl", "this program is licensed under the gnu affero general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("wtfpl", "do what the fuck you want to public license"),
 ]
 THRESHOLD = 0.9
 
@@ -55,8 +73,13 @@ def _phrase_at(words: Column, word: Column, i: Column) -> Column:
     return reduce(Column.__or__, (one(p.split()) for p in PHRASES))
 
 
+def lower(text: Column) -> Column:
+    """A-Z in lower case, all else as it is."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    return F.filter(F.split(lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
 def word_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
@@ -87,18 +110,22 @@ def _runs(text: Column, prefix: Column, most: int) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n"), _words), lambda x: F.size(x) > 0)
     flagged = F.transform(lines, lambda x: F.struct(x.alias("w"), F.arrays_overlap(x, prefix).alias("hit")))
 
-    def lines_on(_, i: Column) -> Column:
-        return F.slice(flagged, i + 1, most + 1)  # each line has a word at least, so these are enough
+    def of(flagged: Column) -> Column:
+        sum_up = lambda a, x: F.concat(a, F.array(F.get(a, F.size(a) - 1) + F.size(x["w"])))
+        ends = F.aggregate(flagged, F.array(F.lit(0)), sum_up)  # where each line ends, in words; 0 first
+
+        def run(ends: Column) -> Column:
+            def lines_on(_, i: Column) -> Column:
+                ahead = F.slice(ends, i + 2, most + 1)  # each line has a word at least, so these are enough
+                n = F.size(F.filter(ahead, lambda e: e < ends[i + 1] + most)) + 1
+                return F.struct(F.slice(flagged, i + 1, n).alias("own"), F.transform(F.slice(ends, i + 2, n), lambda e: e - ends[i]).alias("ends"))
 
-    def ended(own: Column) -> Column:
-        ends = F.transform(own, lambda _, k: F.aggregate(F.slice(own, 1, k + 1), F.lit(0), lambda n, x: n + F.size(x["w"])))
-        return F.struct(F.flatten(own["w"]).alias("words"), ends.alias("ends"))
+            near = F.filter(F.transform(flagged, lines_on), lambda b: F.exists(b["own"], lambda x: x["hit"]))
+            return F.transform(near, lambda b: F.struct(F.flatten(b["own"]["w"]).alias("words"), b["ends"].alias("ends")))
 
-    def cut(run: Column) -> Column:
-        return F.struct(_lines_holding(run["words"], run["ends"], F.lit(most)).alias("words"), run["ends"].alias("ends"))
+        return let(ends, run)
 
-    near = F.filter(F.transform(flagged, lines_on), lambda own: F.exists(own, lambda x: x["hit"]))
-    return F.transform(F.transform(near, ended), cut)
+    return let(flagged, of)
 
 
 def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
@@ -142,3 +169,26 @@ def scan_report(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", total.alias("n_base"), "first_word", "last_word", join(base).alias("base_labels"),
         join(F.concat(base, "matched")).alias("labels"), F.when(total > 0, F.lit(1.0)).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
     )
+
+
+def oracle_sql(notices: list[tuple[str, str]] = NOTICES, threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for ``scan_report``: every notice against the run of every line, without any filter."""
+    rows = []
+    for label, notice in notices:
+        words = sorted(set(notice.split()))
+        rows.append(f"('{label}', {words}, {math.ceil(threshold * len(words))}, {len(notice.split())})")
+    place = " OR ".join("(" + " AND ".join(f"w[i+{k}] = '{x}'" for k, x in enumerate(p.split(), 1)) + ")" for p in PHRASES)
+    base = ", ".join(f"CASE WHEN len(list_filter(range(0, len(w)), lambda i: {' AND '.join(f"w[i+{k}] = '{x}'" for k, x in enumerate(p.split(), 1))})) > 0 THEN '{label}' END" for p, label in PHRASES.items())
+    cut = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""WITH n(label, words, need, long) AS (VALUES {', '.join(rows)}),
+     t AS (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS t FROM documents),
+     d AS (SELECT doc_id, t, regexp_extract_all(t, '{cut}') AS w FROM t),
+     b AS (SELECT doc_id, w, list_filter(range(0, len(w)), lambda i: {place}) AS places, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM d),
+     l AS (SELECT doc_id, i, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM
+       (SELECT doc_id, unnest(list_transform(string_split(t, chr(10)), lambda x: len(regexp_extract_all(x, '{cut}')))) AS n, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM d) WHERE n > 0)),
+     e AS (SELECT doc_id, list(e ORDER BY i) AS ends FROM l GROUP BY doc_id),
+     c AS (SELECT l.doc_id, label, need, len(words) AS size, len(list_intersect(words, w[s + 1 : coalesce(list_min(list_filter(ends, lambda x: x >= e + long)), len(w))])) AS common FROM l JOIN e USING (doc_id) JOIN d USING (doc_id), n),
+     m AS (SELECT doc_id, list(DISTINCT label) AS matched, max(common / size) AS containment FROM c WHERE common >= need GROUP BY doc_id)
+     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+     array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(matched, [])))), ',') AS labels,
+     CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(containment, 0.0) END::DOUBLE AS score FROM b LEFT JOIN m USING (doc_id)"""  # noqa: S608
