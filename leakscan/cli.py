@@ -69,7 +69,7 @@ def scan(spark: SparkSession, o: argparse.Namespace) -> int:
     ctx = context(spark, o, G.repo_root(o.root))
     blocked = H.blocked_files(files(file_blocks(diff_lines(diffs))))
     lines = H.without_blocked(added_lines(diffs), ["file_ord"])
-    return int(show(H.report_rows(detect(lines, ctx, ["diff_id", "file_ord"]), blocked), "path", "line", "rule_id", "shown") > 0)
+    return int(show(H.report_rows(detect(lines, ctx, ["diff_id", "file_ord"], ordered=True), blocked), "path", "line", "rule_id", "shown") > 0)
 
 
 def audit(spark: SparkSession, o: argparse.Namespace) -> int:
@@ -82,7 +82,7 @@ def audit(spark: SparkSession, o: argparse.Namespace) -> int:
         found = G.commits(spark, o.root, o.branch, o.since, o.until)
         meta = found.drop("is_root")
         lines = added_lines(G.commit_diffs(found, o.root).withColumnRenamed("commit_ord", "diff_id")).withColumnRenamed("diff_id", "commit_ord").where(keeps)
-        rows = H.dedup_findings(detect(lines, ctx, ["commit_ord", "file_ord"], ordered=False).join(meta, "commit_ord"))
+        rows = H.dedup_findings(detect(lines, ctx, ["commit_ord", "file_ord"]).join(meta, "commit_ord"))
         rows = H.with_branches(rows, G.commit_branches(rows, o.root)).orderBy("timestamp", "hash", "path", "line_no")
         n = show(rows.withColumn("shown", H.mask(F.col("secret"))), "hash", "author", "date", "branches", "path", "line_no", "rule_id", "shown")
         hits = H.dedup_search(search(lines.join(meta, "commit_ord"), o.search, o.search_regex)) if o.search or o.search_regex else None
@@ -97,7 +97,7 @@ def audit(spark: SparkSession, o: argparse.Namespace) -> int:
         if not there:
             return 2 if errors else 0
         lines = lines_from_files(spark, there, str(Path(o.root).resolve()))
-        n = show(H.report_rows(detect(lines, ctx)), "path", "line", "rule_id", "shown")
+        n = show(H.report_rows(detect(lines, ctx, ordered=True)), "path", "line", "rule_id", "shown")
         hits = search(lines, o.search, o.search_regex) if o.search or o.search_regex else None
     n += show(H.search_report(hits), "path", "line_no", "pattern", "shown") if hits is not None else 0
     return 1 if n else 2 if errors else 0
@@ -127,7 +127,7 @@ def check_file(spark: SparkSession, o: argparse.Namespace) -> int:
         return 2
     if read_files(spark, [rel], root).where("status = 'binary'").take(1):
         return 0
-    return 2 if show(H.report_rows(detect(lines_from_files(spark, [rel], root), ctx)), "path", "line", "rule_id", "shown") else 0
+    return 2 if show(H.report_rows(detect(lines_from_files(spark, [rel], root), ctx, ordered=True)), "path", "line", "rule_id", "shown") else 0
 
 
 def doctor(spark: SparkSession, o: argparse.Namespace) -> int:

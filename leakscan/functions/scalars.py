@@ -14,14 +14,21 @@ SNIPPET_CHARS = 200
 
 def shannon_entropy(s: Column) -> Column:
     """Bits a byte of the UTF-8 bytes of ``s``; 0 for the empty string."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(s, "utf-8")), F.lit(".."), F.lit(0))
+    n = F.octet_length(s).cast("double")
+
+    def summed(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0.0), lambda a, c: a - c / n * F.log2(c / n))
 
-    def of(b: Column) -> Column:
-        total = F.size(b).cast("double")
-        part = lambda x: F.size(F.filter(b, lambda y: y == x)) / total
-        return F.aggregate(F.transform(F.array_sort(F.array_distinct(b)), part), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    def of_bytes(pairs: Column) -> Column:
+        return F.transform(F.array_sort(F.array_distinct(pairs)), lambda x: F.size(F.filter(pairs, lambda y: y == x)).cast("double"))
 
-    return F.when(F.octet_length(s) == 0, F.lit(0.0)).otherwise(F.transform(F.array(pairs), of)[0])
+    def of_characters(characters: Column) -> Column:
+        return F.transform(F.array_sort(F.array_distinct(characters)), lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double"))
+
+    pairs = F.regexp_extract_all(F.hex(F.encode(s, "utf-8")), F.lit(".."), F.lit(0))
+    by_byte, by_character = F.transform(F.array(pairs), of_bytes)[0], of_characters(F.split(s, ""))  # the same where each character is a byte
+    counts = F.when(F.octet_length(s) == F.length(s), by_character).otherwise(by_byte)
+    return F.when(F.octet_length(s) == 0, F.lit(0.0)).otherwise(summed(counts))
 
 
 def charset_entropy(s: Column, allowed: str) -> Column:
@@ -46,18 +53,18 @@ def passes_entropy(s: Column, threshold: Column) -> Column:
     return (F.octet_length(s) < MIN_ENTROPY_LENGTH) | (shannon_entropy(s) >= threshold)
 
 
-def password_strength(s: Column) -> Column:
-    """STRUCT: score, the four character classes, their number, whether it is a common word, entropy."""
+def password_strength(s: Column, entropy: Column | None = None) -> Column:
+    """STRUCT: score, the four character classes, their number, whether it is a common word, entropy (if it isn't given)."""
     has = {"upper": s.rlike("[A-Z]"), "lower": s.rlike("[a-z]"), "digit": s.rlike("[0-9]"), "symbol": s.rlike(r"\p{Punct}")}
     classes = sum((c.cast("int") for c in has.values()), F.lit(0))
-    common, n, h = F.lower(s).isin(COMMON_PASSWORDS), F.octet_length(s), shannon_entropy(s)
+    common, n, h = F.lower(s).isin(COMMON_PASSWORDS), F.octet_length(s), shannon_entropy(s) if entropy is None else entropy
     add = lambda test, x: F.when(test, F.lit(x)).otherwise(F.lit(0.0))
     raw = h + add(classes >= 3, 1.0) + add(classes >= 4, 1.0) + add(n >= 12, 0.5) + add(n >= 20, 0.5) - add(common, 4.0) - add(n < 6, 2.0)
     return F.struct(F.greatest(raw, F.lit(0.0)).alias("score"), *(c.alias(f"has_{k}") for k, c in has.items()), classes.alias("classes"), common.alias("is_common"), h.alias("entropy"))
 
 
-def is_strong_password(s: Column) -> Column:
-    return password_strength(s)["score"] >= STRONG_PASSWORD
+def is_strong_password(s: Column, entropy: Column | None = None) -> Column:
+    return password_strength(s, entropy)["score"] >= STRONG_PASSWORD
 
 
 def mask(s: Column) -> Column:

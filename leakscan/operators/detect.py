@@ -6,8 +6,10 @@ each)."""
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +18,8 @@ from pyspark.sql.functions import arrow_udf
 
 from ..config import ScanContext
 from ..functions import predicates as P
-from ..functions.scalars import is_strong_password, passes_entropy, shannon_entropy
-from ..rules import CompiledRules, translate
+from ..functions.scalars import MIN_ENTROPY_LENGTH, is_strong_password, shannon_entropy
+from ..rules import CompiledRules
 
 CREDENTIAL_ENTROPY = 3.5
 DOC_BONUS = 1.0
@@ -25,28 +27,37 @@ ORDER = ["path", "line_no", "rule_ord", "match_ord"]
 
 
 def keyword_gate(rules: CompiledRules):
-    """An Arrow function: the numbers of the rules one of whose keywords stands in the line, ASCII case aside."""
-    index = {k.encode(): v for k, v in rules.keywords.items()}
+    """An Arrow function: the numbers of the rules one of whose keywords stands in the line, ASCII case aside.
+
+    One linear-time pass of all keywords picks the lines that have any; each keyword is then looked for in those only."""
+    index = {k: np.array(v, np.int32) for k, v in rules.keywords.items()}
     special = b"\\.+*?()|[]{}^$#&-~"
-    pattern = b"|".join(b"".join(b"\\" + bytes([c]) if c in special else bytes([c]) for c in k) for k in index).decode()
+    pattern = b"|".join(b"".join(b"\\" + bytes([c]) if c in special else bytes([c]) for c in k.encode()) for k in index).decode()
+
+    def rules_of(low: pa.Array) -> pa.Array:
+        n = len(low)
+        at = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(low, pattern), False)).to_numpy() if index else np.zeros(0, np.int64)
+        some, found = low.take(pa.array(at)), []
+        for k, of in index.items() if len(at) else ():
+            line = at[pc.indices_nonzero(pc.match_substring(some, k)).to_numpy()].astype(np.int64)
+            if len(line):
+                found.append((np.repeat(line, len(of)) << 32 | np.tile(of, len(line))))
+        each = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        counts = np.bincount(each >> 32, minlength=n)
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((each & 0xFFFFFFFF).astype(np.int32)), mask=pa.array(counts == 0))
 
     @arrow_udf("array<int>")
     def candidates(lines: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in lines:
-            low = pc.ascii_lower(batch)
-            hit = pc.fill_null(pc.match_substring_regex(low, pattern), False) if index else pa.array([False] * len(batch))
-            out: list[list[int] | None] = [None] * len(batch)
-            for i in pc.indices_nonzero(hit).to_pylist():
-                text = low[i].as_py().encode()
-                out[i] = sorted({r for k, of in index.items() if k in text for r in of})
-            yield pa.array(out, pa.list_(pa.int32()))
+            yield rules_of(pc.ascii_lower(batch))
 
     return candidates
 
 
 def keyword_candidates(line: Column, rules: CompiledRules) -> Column:
     """The same as an expression of built-in functions, for streams and comparison."""
-    low = F.lower(line)
+    low = F.translate(line, string.ascii_uppercase, string.ascii_lowercase)
     per = [F.when(F.contains(low, F.lit(k)), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<int>")) for k, v in rules.keywords.items()]
     found = F.array_sort(F.array_distinct(F.flatten(F.array(*per)))) if per else F.array().cast("array<int>")
     return F.when(F.size(found) > 0, found)
@@ -83,15 +94,25 @@ def survives(ctx: ScanContext) -> Column:
     keep &= ~P.is_variable_reference(secret) & ~P.is_hash_in_context(secret, line)
     if not ctx.detect_public_keys:
         keep &= ~P.is_openssh_public_key(line)
-    keep &= F.when(F.col("is_password"), is_strong_password(secret)).otherwise(F.lit(True))
-    keep &= F.when(F.col("is_credential"), is_strong_password(secret) | (shannon_entropy(secret) >= F.coalesce(own, F.lit(CREDENTIAL_ENTROPY)))).otherwise(F.lit(True))
-    return keep & F.when(own.isNotNull() & ~F.col("is_password"), passes_entropy(secret, threshold)).otherwise(F.lit(True))
+
+    def strong_enough(h: Column) -> Column:
+        strong = is_strong_password(secret, h)
+        dense = (F.octet_length(secret) < MIN_ENTROPY_LENGTH) | (h >= threshold)
+        return (
+            (~F.col("is_password") | strong)
+            & (~F.col("is_credential") | strong | (h >= F.coalesce(own, F.lit(CREDENTIAL_ENTROPY))))
+            & (own.isNull() | F.col("is_password") | dense)
+        )
+
+    measured = F.transform(F.array(shannon_entropy(secret)), strong_enough)[0]  # the entropy is taken once, and only of what is left
+    return F.when(~keep, F.lit(False)).when(own.isNull() & ~special, F.lit(True)).otherwise(measured)
 
 
-def detect(lines: DataFrame, ctx: ScanContext, file_key: list[str] | None = None, ordered: bool = True, native_gate: bool = False) -> DataFrame:
+def detect(lines: DataFrame, ctx: ScanContext, file_key: list[str] | None = None, ordered: bool = False, native_gate: bool = False) -> DataFrame:
     """Findings (file_key columns, path, line_no, rule_ord, rule_id, match_ord, secret, *other columns of ``lines``).
 
-    ``file_key`` names what makes a file of ``lines`` (path, line_no, line): the state of public key blocks is kept by it."""
+    ``file_key`` names what makes a file of ``lines`` (path, line_no, line): the state of public key blocks is kept by it.
+    ``ordered``: in the order of reports; a global sort runs its input's last stage twice, so it is for small results."""
     key = file_key or ["path"]
     scanned = lines.where(~P.is_path_skipped(F.col("path"), ctx.paths))
     gate = keyword_candidates(F.col("line"), ctx.rules) if native_gate else keyword_gate(ctx.rules)("line")
@@ -103,7 +124,3 @@ def detect(lines: DataFrame, ctx: ScanContext, file_key: list[str] | None = None
     extra = [c for c in lines.columns if c not in ("path", "line_no", "line")]
     out = found.select(*extra, "path", "line_no", "rule_ord", "rule_id", "match_ord", "secret")
     return out.orderBy(*extra, *ORDER) if ordered else out
-
-
-def rlike_all(line: Column, pattern: str) -> Column:
-    return line.rlike(translate(pattern))

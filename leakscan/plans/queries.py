@@ -84,12 +84,12 @@ def detect_native_gate(spark, sf_dir):
 
 @query(f"WITH {MATCHES}, {SUPPRESS} SELECT count(*) AS n_findings, count(DISTINCT path) AS n_files FROM f")
 def summary_counts(spark, sf_dir):
-    return H.summary(D.detect(C.seeded_lines(spark, sf_dir), build_context(spark), ["file_ord", "path"], ordered=False))
+    return H.summary(D.detect(C.seeded_lines(spark, sf_dir), build_context(spark), ["file_ord", "path"]))
 
 
 @query(f"WITH {MATCHES}, {SUPPRESS} SELECT CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS int) AS scan_code, CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 2 END AS int) AS audit_code FROM f")
 def exit_codes(spark, sf_dir):
-    n = H.summary(D.detect(C.seeded_lines(spark, sf_dir), build_context(spark), ["file_ord", "path"], ordered=False))
+    n = H.summary(D.detect(C.seeded_lines(spark, sf_dir), build_context(spark), ["file_ord", "path"]))
     return n.select(H.scan_exit(F.col("n_findings")).alias("scan_code"), H.audit_exit(F.col("n_findings"), F.lit(0), F.lit(1)).alias("audit_code"))
 
 
@@ -98,7 +98,7 @@ MASKED = "CASE WHEN length({0}) < 6 THEN repeat('x', length({0})) ELSE left({0},
 
 @query(f"WITH {MATCHES}, {SUPPRESS} SELECT path, '1' AS line, rule_id, {MASKED.format('secret')} AS shown FROM f UNION ALL SELECT path, '-', 'env-file-blocked', '' FROM ({PATHS}) WHERE regexp_matches(lower(path), '(^|/)\\.env(\\.[^/]*)?$') AND NOT regexp_matches(lower(path), '\\.env\\.(example|sample|template)$')")
 def scan_report(spark, sf_dir):
-    found = D.detect(C.seeded_lines(spark, sf_dir), build_context(spark), ["file_ord", "path"], ordered=False)
+    found = D.detect(C.seeded_lines(spark, sf_dir), build_context(spark), ["file_ord", "path"])
     paths = C.of(spark, sf_dir, C.PATHS, "orders").withColumn("is_deleted", F.lit(False))
     return H.report_rows(found, H.blocked_files(paths))
 
@@ -185,7 +185,7 @@ def ignored_union(spark, sf_dir):
 @query(f"WITH b AS ({C.duck(C.BLOCKS)}), k AS (SELECT *, CASE WHEN line LIKE '-----BEGIN%' THEN 'B' WHEN line LIKE '-----END%' THEN 'E' END AS marker FROM b), w AS (SELECT *, last_value(marker IGNORE NULLS) OVER (PARTITION BY file_ord ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k) SELECT file_ord, line_no, line AS secret FROM w WHERE line LIKE 'AKIA%' AND coalesce(before, 'E') <> 'B'")
 def pubkey_blocks(spark, sf_dir):
     """Findings outside public key blocks; the window only sees candidate and marker lines."""
-    return D.detect(C.of(spark, sf_dir, C.BLOCKS, "lineitem"), build_context(spark), ["file_ord"], ordered=False).select("file_ord", "line_no", "secret")
+    return D.detect(C.of(spark, sf_dir, C.BLOCKS, "lineitem"), build_context(spark), ["file_ord"]).select("file_ord", "line_no", "secret")
 
 
 @query(f"WITH h AS ({C.duck(C.HUNKS)}) SELECT diff_id, ord, line_no, substr(raw, 2) AS line FROM (SELECT *, CAST(7 + coalesce(sum(CASE WHEN left(raw, 1) IN ('+', ' ') THEN 1 ELSE 0 END) OVER (PARTITION BY diff_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS int) AS line_no FROM h) WHERE left(raw, 1) = '+'")
@@ -275,7 +275,7 @@ def keyword_index(spark, sf_dir):
 @query(f"WITH {MATCHES}, {SUPPRESS} SELECT file_ord, rule_id, secret FROM f WHERE NOT (rule_id = 'aws-access-key-id' AND (regexp_matches(secret, 'A[0-4]') OR path LIKE 'config/%'))")
 def allowlist_anti(spark, sf_dir):
     ctx = build_context(spark, ProjectConfig(rule_allow=(RuleAllow("aws-access-key-id", ("A[0-4]",), ("config/",)),)))
-    return D.detect(C.seeded_lines(spark, sf_dir), ctx, ["file_ord", "path"], ordered=False).select("file_ord", "rule_id", "secret")
+    return D.detect(C.seeded_lines(spark, sf_dir), ctx, ["file_ord", "path"]).select("file_ord", "rule_id", "secret")
 
 
 @query("SELECT c_custkey, c_custkey % 3 = 0 AS openssh FROM customer")

@@ -19,18 +19,22 @@ def file_blocks(lines: DataFrame, key: str = "diff_id") -> DataFrame:
     A hunk ends at an empty line, at the next hunk and at the next file; other prefixes than plus, minus, blank and
     backslash neither show nor advance."""
     raw = F.col("raw")
-    by_diff, by_file = Window.partitionBy(key).orderBy("ord"), Window.partitionBy(key, "file_ord").orderBy("ord")
-    a = lines.withColumn("file_ord", F.sum(F.startswith(raw, F.lit("diff --git ")).cast("int")).over(by_diff.rowsBetween(*WHOLE))).where("file_ord > 0")
-    a = a.withColumn("is_hunk", F.startswith(raw, F.lit("@@"))).withColumn("hunk_ord", F.sum(F.col("is_hunk").cast("int")).over(by_file.rowsBetween(*WHOLE)))
-    by_hunk = Window.partitionBy(key, "file_ord", "hunk_ord").orderBy("ord")
-    ended = F.max((raw == "").cast("int")).over(by_hunk.rowsBetween(*WHOLE)) == 1
-    inside = (F.col("hunk_ord") > 0) & ~F.col("is_hunk") & ~ended
+    by_diff = Window.partitionBy(key).orderBy("ord")  # the one order of all that follows: one exchange, one sort
+    so_far, before = by_diff.rowsBetween(*WHOLE), by_diff.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda test, value: F.last(F.when(test, value), ignorenulls=True).over(so_far)
+    is_file, is_hunk = F.startswith(raw, F.lit("diff --git ")), F.startswith(raw, F.lit("@@"))
+    a = lines.withColumns({"is_file": is_file, "is_hunk": is_hunk})
+    a = a.withColumn("file_ord", F.sum(F.col("is_file").cast("int")).over(so_far)).withColumn("hunks", F.sum(F.col("is_hunk").cast("int")).over(so_far))
+    a = a.withColumn("opened", last(F.col("is_file") | F.col("is_hunk"), F.col("ord"))).withColumn("blank", last(raw == "", F.col("ord")))
+    a = a.withColumn("start", last(F.col("is_hunk"), F.coalesce(F.nullif(F.regexp_extract("raw", r"^[^+]*\+([0-9]+)", 1), F.lit("")).cast("long"), F.lit(1).cast("long"))))
+    a = a.withColumn("hunks_above", last(F.col("is_file"), F.col("hunks"))).withColumn("hunk_ord", F.col("hunks") - F.col("hunks_above"))
+    a = a.withColumn("inside", (F.col("hunk_ord") > 0) & ~F.col("is_hunk") & ~F.coalesce(F.col("blank") > F.col("opened"), F.lit(False)))
     first = F.substring(raw, 1, 1)
-    start = F.when(F.col("is_hunk"), F.coalesce(F.nullif(F.regexp_extract("raw", r"^[^+]*\+([0-9]+)", 1), F.lit("")).cast("long"), F.lit(1)))
-    a = a.withColumn("inside", inside).withColumn("start", F.first(start, ignorenulls=True).over(by_hunk.rowsBetween(*WHOLE)))
-    step = (F.col("inside") & first.isin("+", " ")).cast("int")
-    before = F.coalesce(F.sum(step).over(by_hunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return a.withColumn("kind", F.when(F.col("inside") & (first == "+"), "added").when(~F.col("inside"), "header").otherwise("other")).withColumn("line_no", (F.col("start") + before).cast("int"))
+    step = F.when(F.col("inside") & first.isin("+", " "), F.lit(1)).otherwise(F.lit(0))
+    a = a.withColumn("steps", F.coalesce(F.sum(step).over(before), F.lit(0))).withColumn("steps_above", last(F.col("is_hunk"), F.col("steps")))
+    kind = F.when(F.col("inside") & (first == "+"), "added").when(~F.col("inside"), "header").otherwise("other")
+    line_no = F.when(F.col("hunk_ord") > 0, (F.col("start") + F.col("steps") - F.col("steps_above")).cast("int"))
+    return a.where("file_ord > 0").select(*lines.columns, "file_ord", "hunk_ord", kind.alias("kind"), line_no.alias("line_no"))
 
 
 def files(blocks: DataFrame, key: str = "diff_id") -> DataFrame:
