@@ -68,7 +68,7 @@ def scan(spark: SparkSession, o: argparse.Namespace) -> int:
         return 0
     ctx = context(spark, o, G.repo_root(o.root))
     blocked = H.blocked_files(files(file_blocks(diff_lines(diffs))))
-    lines = H.without_blocked(added_lines(diffs), ["file_ord"])
+    lines = H.without_blocked(added_lines(diffs))
     return int(show(H.report_rows(detect(lines, ctx, ["diff_id", "file_ord"], ordered=True), blocked), "path", "line", "rule_id", "shown") > 0)
 
 

@@ -32,7 +32,7 @@ def with_branches(rows: DataFrame, branches: DataFrame) -> DataFrame:
     return rows.join(branches, "hash", "left").withColumn("branches", F.coalesce("branches", F.array().cast("array<string>")))
 
 
-def without_blocked(lines: DataFrame, file_key: list[str]) -> DataFrame:
+def without_blocked(lines: DataFrame) -> DataFrame:
     """Lines of files that the .env policy blocks go; the policy is a predicate of the path, so no join is needed."""
     return lines.where(~is_blocked_env(F.col("path")))
 
@@ -69,6 +69,17 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count("*").alias("n_findings"), F.countDistinct("path").alias("n_files"))
 
 
+def counters(files: DataFrame) -> DataFrame:
+    """How many files were scanned, were binary, and could not be read."""
+    count = lambda status: F.coalesce(F.sum(F.when(F.col("status") == status, 1).otherwise(0)), F.lit(0))
+    return files.agg(count("ok").alias("n_scanned"), count("binary").alias("n_binary"), count("error").alias("n_errors"))
+
+
+def has_issues(status: Column) -> Column:
+    """Over rows of a doctor's report: whether any is a warning or an error."""
+    return F.bool_or(status.isin("warn", "error"))
+
+
 def scan_exit(n_findings: Column) -> Column:
     return F.when(n_findings > 0, 1).otherwise(0)
 

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ProjectConfig, RuleAllow, build_context
+from ..config import ProjectConfig, RuleAllow, build_context, discover, from_toml, merge_all
 from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import detect as D
 from ..operators import history as H
 from ..operators.search import search
 from ..rules import Rule, default_rules, merge_rules
-from ..sources.diff import file_blocks, files
+from ..sources.diff import added_lines, file_blocks, files
 from ..sources.text import lines_from_text
 from . import corpora as C
+from .samples import sample_lines
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 LINES, PATHS = C.duck(C.LINES), C.duck(C.PATHS)
@@ -103,13 +105,41 @@ def scan_report(spark, sf_dir):
     return H.report_rows(found, H.blocked_files(paths))
 
 
-@query(f"WITH {MATCHES}, k AS (SELECT DISTINCT file_ord, rule_id FROM m) SELECT file_ord, rule_id FROM k")
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The built-in rules as SQL rows: place, id, keywords.
+KEYWORDS = ", ".join(f"({i}, {_q(r.id)}, [{', '.join(map(_q, r.keywords))}])" for i, r in enumerate(default_rules()))
+
+
+@query(f"WITH k AS (SELECT id, unnest(kw) AS kw FROM (VALUES {KEYWORDS}) v(ord, id, kw)) SELECT DISTINCT file_ord, id AS rule_id FROM ({LINES}) l, k WHERE contains(lower(line), lower(kw))")
 def keyword_gate(spark, sf_dir):
-    """Which rules' keywords a line holds, restricted to the seven rules the seeded lines were made for."""
-    ctx = build_context(spark)
-    names = ["aws-access-key-id", "github-personal-access-token", "generic-api-key", "generic-password-assignment", "database-connection-string-postgres", "password-in-url", "generic-secret-assignment"]
+    """Which rules' keywords a line holds, of all built-in rules."""
+    ctx = build_context(spark, detect_public_keys=True)
     lines = C.seeded_lines(spark, sf_dir).withColumn("rule_ord", F.explode(D.keyword_gate(ctx.rules)("line")))
-    return lines.join(F.broadcast(ctx.rules.table(spark)), "rule_ord").where(F.col("rule_id").isin(names)).select("file_ord", "rule_id")
+    return lines.join(F.broadcast(ctx.rules.table(spark)), "rule_ord").select("file_ord", "rule_id")
+
+
+def _matches_of(rule) -> str:
+    kind = "password" if rule.is_password else "credential" if rule.is_credential else "context" if rule.context_dependent else "plain"
+    own = "NULL::DOUBLE" if rule.entropy_threshold is None else f"{rule.entropy_threshold}::DOUBLE"
+    held = " OR ".join(f"contains(lower(line), {_q(k.lower())})" for k in rule.keywords)
+    return f"SELECT *, {_q(rule.id)} AS rule_id, unnest(regexp_extract_all(line, {_q(rule.regex)}, 1)) AS secret, {own} AS own, '{kind}' AS kind FROM lines WHERE {held}"
+
+
+SAMPLES = ", ".join(f"({i}, {_q(line)})" for i, _, line in sample_lines())
+ALL_RULES = f"""WITH lines AS (SELECT file_ord, 1 AS line_no, 'src/app.py' AS path, line FROM (VALUES {SAMPLES}) v(file_ord, line)), m AS ({' UNION ALL '.join(map(_matches_of, default_rules()))}), {SUPPRESS}
+ SELECT c_custkey, rule_id, secret FROM customer JOIN f ON c_custkey % {len(sample_lines())} = file_ord"""
+
+
+@query(ALL_RULES)
+def detect_all_rules(spark, sf_dir):
+    """Lines that each of the built-in rules' patterns matches, those about public keys included."""
+    lines = spark.createDataFrame([(i, x) for i, _, x in sample_lines()], "at long, line string")
+    rows = _docs(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(sample_lines())).alias("at")).join(F.broadcast(lines), "at")
+    rows = rows.select("c_custkey", F.lit("src/app.py").alias("path"), F.lit(1).alias("line_no"), "line")
+    return D.detect(rows, build_context(spark, detect_public_keys=True), ["c_custkey"]).select("c_custkey", "rule_id", "secret")
 
 
 @query("SELECT doc_id, CAST(i AS int) AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE line <> ''")
@@ -176,10 +206,12 @@ def audit_filters(spark, sf_dir):
     return C.of(spark, sf_dir, C.PATHS, "orders").where(P.audit_keeps(F.col("path"), [r"fixtures|\.rst$", "vendor"], [r"main\.py"]))
 
 
-@query(f"WITH p AS (SELECT DISTINCT path FROM ({PATHS}) WHERE id % 3 = 0), q AS (SELECT DISTINCT path FROM ({PATHS}) WHERE id % 2 = 0) SELECT path FROM p UNION SELECT path FROM q")
+@query(f"SELECT path FROM ({PATHS}) UNION SELECT 'ignored/' || path FROM ({PATHS}) WHERE id % 2 = 0")
 def ignored_union(spark, sf_dir):
+    """All paths, and those of ignored files that are not among them."""
     p = C.of(spark, sf_dir, C.PATHS, "orders")
-    return H.union_ignored(p.where("id % 3 = 0").select("path").distinct(), p.where("id % 2 = 0").select("path").distinct())
+    ignored = p.select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("ignored/"), "path")).otherwise(F.col("path")).alias("path"))
+    return H.union_ignored(p.select("path").distinct(), ignored.distinct())
 
 
 @query(f"WITH b AS ({C.duck(C.BLOCKS)}), k AS (SELECT *, CASE WHEN line LIKE '-----BEGIN%' THEN 'B' WHEN line LIKE '-----END%' THEN 'E' END AS marker FROM b), w AS (SELECT *, last_value(marker IGNORE NULLS) OVER (PARTITION BY file_ord ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k) SELECT file_ord, line_no, line AS secret FROM w WHERE line LIKE 'AKIA%' AND coalesce(before, 'E') <> 'B'")
@@ -193,7 +225,7 @@ def hunk_line_numbers(spark, sf_dir):
     h = C.of(spark, sf_dir, C.HUNKS, "lineitem")
     ids = h.select("diff_id").distinct()
     heads = ids.select("diff_id", F.lit(0).cast("long").alias("ord"), F.lit("diff --git a/x b/x").alias("raw")).unionByName(ids.select("diff_id", F.lit(1).cast("long").alias("ord"), F.lit("@@ -1,0 +7,9 @@").alias("raw")))
-    return file_blocks(h.unionByName(heads)).where("kind = 'added'").select("diff_id", "ord", "line_no", F.substring("raw", 2, 1000).alias("line"))
+    return file_blocks(h.unionByName(heads)).where("kind = 'added'").select("diff_id", "ord", "line_no", F.substring("raw", 2, 1 << 30).alias("line"))
 
 
 DIFF_TEXT = "SELECT o_orderkey AS diff_id, 'diff --git a/old b/f' || CAST(o_custkey AS {s}) || chr(10) || CASE o_orderkey % 4 WHEN 0 THEN 'new file mode 100644' WHEN 1 THEN 'deleted file mode 100644' WHEN 2 THEN 'rename from old' ELSE 'Binary files a and b differ' END || chr(10) || CASE WHEN o_orderkey % 3 = 0 THEN '+++ b/moved' ELSE '+++ /dev/null' END || chr(10) || '@@ -0,0 +1,1 @@' || chr(10) || '+x' AS diff FROM orders"
@@ -266,10 +298,10 @@ def rules_upsert(spark, sf_dir):
     return spark.createDataFrame([(i, r.id, r.regex) for i, r in enumerate(merged)], "ord int, id string, regex string")
 
 
-@query(None)
+@query(f"SELECT lower(kw) AS keyword, array_to_string(list(ord ORDER BY ord), ',') AS rules FROM (SELECT DISTINCT ord, lower(kw) AS kw FROM (SELECT ord, unnest(kw) AS kw FROM (VALUES {KEYWORDS}) v(ord, id, kw))) GROUP BY 1")
 def keyword_index(spark, sf_dir):
     ctx = build_context(spark, detect_public_keys=True)
-    return spark.createDataFrame([(k, list(v)) for k, v in ctx.rules.keywords.items()], "keyword string, rules array<int>")
+    return spark.createDataFrame([(k, ",".join(map(str, v))) for k, v in ctx.rules.keywords.items()], "keyword string, rules string")
 
 
 @query(f"WITH {MATCHES}, {SUPPRESS} SELECT file_ord, rule_id, secret FROM f WHERE NOT (rule_id = 'aws-access-key-id' AND (regexp_matches(secret, 'A[0-4]') OR path LIKE 'config/%'))")
@@ -284,6 +316,140 @@ def openssh_lines(spark, sf_dir):
     return c.select("c_custkey", P.is_openssh_public_key(F.col("line")).alias("openssh"))
 
 
+NAMES = "SELECT r_name, n_name, r_regionkey, n_nationkey FROM region JOIN nation ON r_regionkey = n_regionkey"
+
+
+def _regions(spark, sf_dir) -> dict[str, list[str]]:
+    """Nations by region, both in the order of their keys (25 rows)."""
+    rows = C.of(spark, sf_dir, NAMES, "region", "nation").orderBy("r_regionkey", "n_nationkey").collect()
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault(r["r_name"], []).append(r["n_name"])
+    return out
+
+
+def _config_toml(k: int, region: str, nations: list[str]) -> str:
+    quoted = lambda xs: "[" + ", ".join(f'"{x}"' for x in xs) + "]"
+    return f"""unknown = 1
+[allowlist]
+paths = {quoted([f"^{n}/" for n in nations] + ["^shared/"])}
+stopwords = {quoted(["common", region])}
+[[allowlist.rules]]
+id = "aws-access-key-id"
+regexes = {quoted(nations)}
+paths = ["^keys/"]
+[settings]
+entropy_threshold = {k}.5
+{"detect_public_keys = true" if k == 1 else ""}
+[audit]
+exclude_patterns = {quoted(nations[:1])}
+{"include_ignored = true" if k == 3 else ""}
+[[rules]]
+id = "rule-{k % 2}"
+description = "{region}"
+regex = "({region}[0-9]+)"
+secret_group = 1
+keywords = {quoted([region])}
+"""
+
+
+CONFIG = f"""WITH n AS ({NAMES}), r AS (SELECT DISTINCT r_name, r_regionkey FROM n),
+ e AS (SELECT 'path' AS field, '^' || n_name || '/' AS value, r_regionkey * 1000 + n_nationkey AS o FROM n UNION ALL SELECT 'path', '^shared/', min(r_regionkey) * 1000 + 999 FROM n
+ UNION ALL SELECT 'stopword', 'common', -1 UNION ALL SELECT 'stopword', r_name, r_regionkey FROM r UNION ALL SELECT 'rule_regex', n_name, r_regionkey * 1000 + n_nationkey FROM n UNION ALL SELECT 'rule_path', '^keys/', 0
+ UNION ALL SELECT 'exclude', n_name, r_regionkey FROM n QUALIFY row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) = 1
+ UNION ALL SELECT 'threshold', CAST(max(r_regionkey) AS VARCHAR) || '.5', 0 FROM r UNION ALL SELECT 'public_keys', 'True', 0 UNION ALL SELECT 'include_ignored', 'True', 0
+ UNION ALL SELECT 'rule', 'rule-' || CAST(r_regionkey % 2 AS VARCHAR) || ' (' || max_by(r_name, r_regionkey) || '[0-9]+)', r_regionkey % 2 FROM r GROUP BY r_regionkey % 2)
+ SELECT field, CAST(row_number() OVER (PARTITION BY field ORDER BY o) - 1 AS int) AS ord, value FROM e"""
+
+
+@query(CONFIG)
+def config_merge(spark, sf_dir):
+    """Configurations read from TOML and folded: lists united in order, later scalars on top, rules by id, per-rule lists united."""
+    merged = merge_all([from_toml(_config_toml(k, r, n)) for k, (r, n) in enumerate(_regions(spark, sf_dir).items())])
+    allow = merged.rule_allow[0]
+    fields = {
+        "path": merged.paths, "stopword": merged.stopwords, "rule_regex": allow.regexes, "rule_path": allow.paths, "exclude": merged.exclude_patterns, "threshold": [str(merged.entropy_threshold)],
+        "public_keys": [str(merged.detect_public_keys)], "include_ignored": [str(merged.include_ignored)], "rule": [f"{r.id} {r.regex}" for r in merged.rules],
+    }
+    return spark.createDataFrame([(f, i, x) for f, xs in fields.items() for i, x in enumerate(xs)], "field string, ord int, value string")
+
+
+@query(f"SELECT id, path FROM ({PATHS}) WHERE NOT (regexp_matches(path, '^src/') OR regexp_matches(path, '^wiki/x/')) AND NOT {SKIPPED}")
+def context_paths(spark, sf_dir):
+    """Path allowlists of a context built from a configuration and, above it, a flag."""
+    ctx = build_context(spark, ProjectConfig(paths=("src/",)), paths=("wiki/x/",))
+    return C.of(spark, sf_dir, C.PATHS, "orders").where(~P.is_path_skipped(F.col("path"), ctx.paths))
+
+
+@query("SELECT r_regionkey, ord, path FROM region, (VALUES (0, '/etc/leakscan.toml'), (1, '/x/leakscan/.leakscan.toml'), (2, '/h/.leakscan.toml'), (3, NULL)) v(ord, p), LATERAL (SELECT CASE WHEN ord = 1 THEN '/x/leakscan/leakscan.toml' WHEN ord < 3 THEN p ELSE '/h/' || r_name || '/.leakscan.toml' END AS path)")
+def config_discovery(spark, sf_dir):
+    """Candidate configuration files of a folder of each region's name in the home folder, lowest first."""
+    rows = [(r["r_regionkey"], i, str(p)) for r in _docs(spark, sf_dir, "region").collect() for i, p in enumerate(discover(Path("/h") / r["r_name"], Path("/h"), Path("/etc"), Path("/x")))]
+    return spark.createDataFrame(rows, "r_regionkey long, ord int, path string")
+
+
+@query(f"SELECT diff_id, CASE WHEN diff_id % 3 = 0 THEN 'moved' ELSE regexp_extract(diff, ' b/(f[0-9]+)', 1) END AS path, CAST(1 AS int) AS line_no, 'x' AS line FROM ({C.duck(DIFF_TEXT)}) WHERE diff_id % 4 IN (0, 2)")
+def scannable_added_lines(spark, sf_dir):
+    """Lines that files of diffs gain, deleted and binary files left out."""
+    return added_lines(C.of(spark, sf_dir, DIFF_TEXT, "orders")).select("diff_id", "path", "line_no", "line")
+
+
+@query(f"SELECT id, path FROM ({PATHS}) WHERE NOT (regexp_matches(lower(path), '(^|/)\\.env(\\.[^/]*)?$') AND NOT regexp_matches(lower(path), '\\.env\\.(example|sample|template)$'))")
+def lines_without_blocked(spark, sf_dir):
+    return H.without_blocked(C.of(spark, sf_dir, C.PATHS, "orders"))
+
+
+@query(f"WITH {MATCHES}, {SUPPRESS} SELECT file_ord, rule_id, secret, hash, author, timestamp FROM f JOIN ({COMMITS}) c ON f.file_ord = c.commit_ord")
+def findings_with_commits(spark, sf_dir):
+    """Each finding with its own commit."""
+    found = D.detect(C.seeded_lines(spark, sf_dir), build_context(spark), ["file_ord"])
+    commits = C.of(spark, sf_dir, C.COMMITS, "orders").select(F.col("commit_ord").alias("file_ord"), "hash", "author", "timestamp")
+    return found.join(commits, "file_ord").select("file_ord", "rule_id", "secret", "hash", "author", "timestamp")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'B' WHEN 1 THEN 'E' WHEN 2 THEN 'B' WHEN 3 THEN 'E' END AS marker FROM customer")
+def key_block_markers(spark, sf_dir):
+    """Headers and ends of PEM and PGP public key blocks; private keys and text around them are none."""
+    line = "CASE c_custkey % 6 WHEN 0 THEN ' -----BEGIN RSA PUBLIC KEY-----' WHEN 1 THEN '-----end public key-----' WHEN 2 THEN '-----begin pgp public key block-----' WHEN 3 THEN '-----END PGP PUBLIC KEY BLOCK-----' WHEN 4 THEN '-----BEGIN PRIVATE KEY-----' ELSE 'x -----BEGIN PUBLIC KEY-----' END AS line"
+    return _docs(spark, sf_dir, "customer").selectExpr("c_custkey", line).select("c_custkey", P.public_key_marker(F.col("line")).alias("marker"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'k' || CAST(c_custkey AS VARCHAR) ELSE 'key=' END AS secret FROM customer")
+def capture_fallback(spark, sf_dir):
+    """Where a rule's group takes no part in the match, the whole match is the secret."""
+    ctx = build_context(spark, ProjectConfig(rules=(Rule("r", "key=(k[0-9]+)?", ("key=",)),)), no_defaults=True)
+    lines = _docs(spark, sf_dir, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 2 = 0 THEN 'key=k' || CAST(c_custkey AS STRING) ELSE 'key=' END AS line")
+    return D.matches(lines.withColumn("candidates", D.keyword_gate(ctx.rules)("line")), ctx).select("c_custkey", "secret")
+
+
+@query(f"SELECT doc_id, CAST(i AS int) AS line_no, CASE WHEN length(trim(line)) > 200 THEN left(trim(line), 200) || chr(8230) ELSE trim(line) END AS shown FROM ({SEARCHED}) WHERE contains(line, 'icense')")
+def search_report(spark, sf_dir):
+    lines = lines_from_text(_docs(spark, sf_dir), F.col("doc_id").cast("string"), F.col("text"), "doc_id")
+    return H.search_report(search(lines, ["icense"])).select(F.col("path").cast("long").alias("doc_id"), "line_no", "shown")
+
+
+@query(f"SELECT hash, array_to_string(list(DISTINCT branch ORDER BY branch), ',') AS branches FROM (SELECT hash, branch FROM ({C.duck(BRANCHES)}) UNION ALL SELECT hash, 'a' FROM ({C.duck(BRANCHES)})) GROUP BY hash")
+def branch_sort(spark, sf_dir):
+    """Sorted names of the branches that have each commit."""
+    b = C.of(spark, sf_dir, BRANCHES, "orders")
+    rows = b.unionByName(b.select("hash", F.lit("a").alias("branch"))).groupBy("hash").agg(F.array_sort(F.collect_set("branch")).alias("branches"))
+    return H.with_branches(rows.select("hash"), rows).select("hash", F.array_join("branches", ",").alias("branches"))
+
+
+@query("SELECT CAST(sum(CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_binary, CAST(sum(CASE WHEN c_custkey % 5 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_errors, CAST(sum(CASE WHEN c_custkey % 5 > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_scanned FROM customer")
+def audit_counters(spark, sf_dir):
+    status = F.when(F.col("c_custkey") % 5 == 0, "binary").when(F.col("c_custkey") % 5 == 1, "error").otherwise("ok")
+    return H.counters(_docs(spark, sf_dir, "customer").select(status.alias("status")))
+
+
+@query("SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS has_issues FROM region")
+def doctor_issues(spark, sf_dir):
+    """Whether any row of a doctor's report is a warning or an error."""
+    status = F.when(F.col("r_regionkey") == 1, F.array(F.lit("ok"), F.lit("warn"))).when(F.col("r_regionkey") == 2, F.array(F.lit("error"))).otherwise(F.array(F.lit("ok"), F.lit("info")))
+    rows = _docs(spark, sf_dir, "region").select("r_regionkey", F.explode(status).alias("status"))
+    return rows.groupBy("r_regionkey").agg(H.has_issues(F.col("status")).alias("has_issues"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in QUERIES.items()}
 

@@ -77,3 +77,14 @@ def test_rules(spark):
     assert translate("a$[$]\\$[[:alpha:]]") == r"(?dU)a\z[$]\$[\p{Alpha}]"
     with pytest.raises(RuleError):
         rules_from_toml('[[rules]]\nid = "x"')
+
+
+def test_every_rule(spark):
+    """Each built-in rule reports lines made from its own pattern, and none whose only sign is its keyword."""
+    from leakscan.plans.samples import sample_lines
+
+    rows = sample_lines()
+    found = run(spark, [("src/a.py", x) for _, _, x in rows], build_context(spark, detect_public_keys=True))
+    met = {rule for i, rule, _ in rows if i % 4 < 3 and rule in {r for r, _ in found.get(i, [])}}
+    assert met == {r.id for r in default_rules()}
+    assert not [rows[i] for i in found if i % 4 == 3]
