@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .functions.predicates import CONFIG_FILE
-from .rules import PUBLIC_KEY_RULES, CompiledRules, Rule, compile_rules, default_rules, merge_rules, rules_from_dicts
+from .rules import PUBLIC_KEY_RULES, CompiledRules, Rule, compile_pattern, compile_rules, default_rules, merge_rules, rules_from_dicts
 
 
 class ConfigError(ValueError):
@@ -136,5 +136,7 @@ def build_context(spark: SparkSession, config: ProjectConfig | None = None, no_d
         warnings.warn("no rules are left", stacklevel=2)
     own = tuple(RuleAllow(r.id, r.allowed_values, r.allowed_paths) for r in rules if r.allowed_values or r.allowed_paths)
     compiled = compile_rules(spark, rules)
+    for p in (*config.paths, *config.exclude_patterns, *config.include_patterns, *(x for a in (*own, *config.rule_allow) for x in (*a.regexes, *a.paths))):
+        compile_pattern(spark, p)  # a bad pattern is named here, before any job
     keys = bool(config.detect_public_keys)
     return ScanContext(compiled if keys else compiled.without(PUBLIC_KEY_RULES), config.paths, config.stopwords, merge_rule_allow(own, config.rule_allow), config.entropy_threshold, keys, config)

@@ -53,14 +53,25 @@ def report_rows(findings: DataFrame, blocked: DataFrame | None = None) -> DataFr
     return blocked.select("path", F.lit("-").alias("line"), F.lit("env-file-blocked").alias("rule_id"), F.lit("").alias("shown")).unionByName(rows)
 
 
-def report_by_commit(findings: DataFrame) -> DataFrame:
-    """One row for each commit: short hash, sanitised author, email and date, and its masked findings in order."""
-    each = F.struct("path", "line_no", "rule_id", mask(F.col("secret")).alias("shown"))
-    return findings.groupBy("timestamp", "hash").agg(
-        F.substring(F.col("hash"), 1, 8).alias("short"), *(sanitize(F.first(c)).alias(c) for c in ("author", "email", "date")), F.array_sort(F.collect_list(each)).alias("findings")
+def by_commit(rows: DataFrame, each: Column) -> DataFrame:
+    """One row for each commit, in the order of commits: short hash, sanitised author, email, date and branches (where
+    there are any), and ``each`` of its rows, in order, as ``found``."""
+    names = [F.array_join(F.transform(F.first("branches"), sanitize), ", ").alias("branches")] if "branches" in rows.columns else []
+    return rows.groupBy("timestamp", "hash").agg(
+        F.substring(F.col("hash"), 1, 8).alias("short"), *(sanitize(F.first(c)).alias(c) for c in ("author", "email", "date")), *names, F.array_sort(F.collect_list(each)).alias("found")
     ).orderBy("timestamp", "hash")
 
 
+def report_by_commit(findings: DataFrame) -> DataFrame:
+    """``by_commit`` with masked findings."""
+    return by_commit(findings, F.struct(sanitize(F.col("path")).alias("path"), "line_no", "rule_id", sanitize(mask(F.col("secret"))).alias("shown")))
+
+
+def search_by_commit(matches: DataFrame) -> DataFrame:
+    """``by_commit`` with snippets of search matches."""
+    return by_commit(matches, F.struct(sanitize(F.col("path")).alias("path"), "line_no", sanitize(F.col("pattern")).alias("pattern"), snippet(F.col("line")).alias("shown")))
+
+
 def search_report(found: DataFrame) -> DataFrame:
     return found.select("path", "line_no", "pattern", snippet(F.col("line")).alias("shown"))
 

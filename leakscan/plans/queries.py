@@ -269,7 +269,7 @@ def root_commits(spark, sf_dir):
 @query(f"SELECT timestamp, hash, left(hash, 8) AS short, count(*) AS n, min({MASKED.format('secret')}) AS first_shown FROM ({FINDINGS}) GROUP BY 1, 2")
 def history_report(spark, sf_dir):
     rows = C.findings(spark, sf_dir).withColumns({"email": F.lit("a@b"), "date": F.lit("2020")})
-    return H.report_by_commit(rows).select("timestamp", "hash", "short", F.size("findings").cast("long").alias("n"), F.array_min(F.transform("findings", lambda x: x["shown"])).alias("first_shown"))
+    return H.report_by_commit(rows).select("timestamp", "hash", "short", F.size("found").cast("long").alias("n"), F.array_min(F.transform("found", lambda x: x["shown"])).alias("first_shown"))
 
 
 SEARCHED = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents"

@@ -129,8 +129,23 @@ def _open(pattern: str, at: int) -> bool:
 _known: set[str] = set()
 
 
+#: Of a compiled pattern's size, about: states, and bytes of a state.
+SIZE_LIMIT, STATE = 1 << 20, 16
+
+
+def pattern_states(pattern: str) -> int:
+    """About how many states a pattern has with its bounded repetitions written out: those are what makes it large."""
+    total, depth = len(pattern), 1
+    for m in re.finditer(r"(?<!\\)\{([0-9]+)(?:,([0-9]*))?\}", pattern):
+        depth *= max(int(m[2] or m[1]), 1) if pattern[m.start() - 1 : m.start()] == ")" else 1
+        total += max(int(m[2] or m[1]), 1) * depth
+    return total
+
+
 def compile_pattern(spark: SparkSession, pattern: str) -> str:
-    """The translated pattern; raises if the JVM can't compile it."""
+    """The translated pattern; raises if it is too large (about 1 MiB compiled) or the JVM can't compile it."""
+    if pattern_states(pattern) * STATE > SIZE_LIMIT:
+        raise RuleError(f"pattern is too large: {pattern[:80]!r}")
     text = translate(pattern)
     if text not in _known:
         try:

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Characters of diffs that a worker hands on together, about.
+BATCH = 16 << 20
+
+
 class GitError(RuntimeError):
     """Git is missing, this is no repository, or a command failed."""
 
@@ -81,17 +85,32 @@ def commits(spark: SparkSession, root: str, branch: str | None = None, since: st
     return spark.createDataFrame(rows, "hash string, author string, email string, date string, timestamp long, commit_ord int, is_root boolean")
 
 
+#: How git is asked for what a commit adds.
+DIFF_TREE = ("diff-tree", "-p", "--no-commit-id", "-r", "--unified=0", "--diff-filter=d", "-m")
+
+
 def commit_diffs(found: DataFrame, root: str) -> DataFrame:
-    """``found`` (commits) with ``diff``: what each commit adds, against every parent."""
+    """``found`` (commits) with ``diff``: what each commit adds, against every parent; ``failed`` where git gives none."""
     names = found.columns
 
     def diffs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            p["diff"] = [git(root, "diff-tree", "-p", "--no-commit-id", "-r", "--unified=0", "--diff-filter=d", "-m", *(["--root"] if r else []), h, check=False).decode("utf-8", "replace") for h, r in zip(p["hash"], p["is_root"])]
-            yield p[[*names, "diff"]]
+            held, size = [], 0
+            for row in p.itertuples(index=False):
+                try:
+                    text, failed = git(root, *DIFF_TREE, *(["--root"] if row.is_root else []), row.hash).decode("utf-8", "replace"), False
+                except GitError:
+                    text, failed = "", True
+                held.append((*row, text, failed))
+                size += len(text)
+                if size >= BATCH:
+                    yield pd.DataFrame(held, columns=[*names, "diff", "failed"])
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=[*names, "diff", "failed"])
 
     spread = found.repartition(found.sparkSession.sparkContext.defaultParallelism, "hash")
-    return spread.mapInPandas(diffs, found.withColumn("diff", F.lit("")).schema)
+    return spread.mapInPandas(diffs, found.withColumn("diff", F.lit("")).withColumn("failed", F.lit(False)).schema)
 
 
 def commit_branches(hashes: DataFrame, root: str) -> DataFrame:

@@ -1,5 +1,9 @@
+import json
 import subprocess
 
+import pytest
+
+from leakscan import hooks
 from leakscan.cli import main
 from leakscan.config import build_context
 from leakscan.streaming.detect import detect_stream, earliest_stream
@@ -30,12 +34,70 @@ def test_commands(spark, tmp_path, capsys):
     assert main([*root, "audit", "--exclude", "a.py", "--search", "x=1"], spark) == 1
     assert main([*root, "audit", "--branch", "main"], spark) == 2
     assert main([*root, "audit", "--history", "--branch", "main"], spark) == 1
-    assert "['main']" in capsys.readouterr().err
+    said = capsys.readouterr().err
+    assert "commit " in said and "(a <a@b>, " in said and " in main" in said and "1 secrets in 1 commits" in said
+    assert main([*root, "audit", "--history", "--exclude", "a.py", "--search", "x=1"], spark) == 1
+    assert "(a <a@b>, " in capsys.readouterr().err
     assert [main([*root, "check-file", f], spark) for f in ("a.py", ".env", ".gitignore", "../x")] == [2, 2, 2, 2]
     (tmp_path / "b.py").write_text("fine\n")
     assert main([*root, "check-file", "b.py"], spark) == 0
     assert main([*root, "doctor"], spark) == 0
-    assert main([*root, "--config", "missing.toml", "doctor"], spark) == 2
+    assert main([*root, "--config", "missing.toml", "doctor"], spark) == 1
+    assert main([*root, "audit", "--exclude", "("], spark) == 2
+    assert main([*root, "audit", "--exclude", "(a{1000}){1000}"], spark) == 2
+
+
+def test_odd_names_and_errors(spark, tmp_path, capsys):
+    git, root = repo(tmp_path), ["--root", str(tmp_path)]
+    names = ["[id].py", "a*b.py", "q?.py", "{x}.py", "a b.py", "100%.py", "_u.py", ".dot", "back\\slash.py"]
+    for n in names:
+        (tmp_path / n).write_text(f"k = '{KEY}'\n")
+    (tmp_path / "gone.py").write_text("x\n")
+    git("add", "-A")
+    git("commit", "-qm", "1")
+    (tmp_path / "gone.py").unlink()
+    assert main([*root, "audit"], spark) == 1
+    said = capsys.readouterr().err
+    assert all(f"{n}  1  aws-access-key-id" in said for n in names) and f"{len(names)} secrets in {len(names)} files, 1 files could not be read" in said
+    assert main([*root, "audit", "--exclude", "."], spark) == 0
+    for n in names:
+        (tmp_path / n).write_text("fine\n")
+    assert main([*root, "audit"], spark) == 2  # nothing found, but a file can't be read
+
+
+def test_hook_input(spark, tmp_path, monkeypatch):
+    import io
+
+    for text in ("[1]", '{"tool_input": null}', '{"tool_input": {"file_path": 3}}', "{}", "not json", '"x"'):
+        monkeypatch.setattr("sys.stdin", io.StringIO(text))
+        assert main(["--root", str(tmp_path), "check-file"], spark) == 2
+    (tmp_path / "a.py").write_text("fine\n")
+    monkeypatch.setattr("sys.stdin", io.StringIO('{"tool_input": {"file_path": "a.py"}, "cwd": "%s"}' % tmp_path))
+    assert main(["check-file"], spark) == 0
+
+
+def test_hooks(tmp_path, monkeypatch):
+    assert hooks.expand_tilde("~", tmp_path) == tmp_path and hooks.expand_tilde("~/a", tmp_path) == tmp_path / "a" and str(hooks.expand_tilde("~b/a", tmp_path)) == "~b/a"
+    assert hooks.insert_before_exit("#!/bin/sh\nls\nexit 0\n", "S\n") == "#!/bin/sh\nls\nS\n\nexit 0\n"
+    assert hooks.insert_before_exit("ls\nexited\n", "S\n") == "ls\nexited\nS\n" and hooks.insert_before_exit("", "S\n") == "S\n"
+    repo(tmp_path)
+    folder = hooks.hooks_dir(str(tmp_path))
+    assert hooks.hook_status(folder)[0] == "not installed"
+    assert [hooks.install_pre_commit(folder) for _ in range(2)] == ["created", "present"] and hooks.hook_status(folder)[0] == "ok"
+    (folder / "pre-commit").write_text("#!/bin/sh\nexit 0\n")
+    assert hooks.install_pre_commit(folder) == "added" and (folder / "pre-commit").read_text().endswith("exit 0\n")
+    settings = tmp_path / ".claude" / "settings.json"
+    assert [hooks.install_agent_hook(settings) for _ in range(2)] == ["created", "present"] and hooks.agent_status(settings)[0] == "ok"
+    value = json.loads(settings.read_text()) | {"other": 1}
+    value["hooks"]["PreToolUse"][0]["hooks"] = [{"command": "x"}, {"command": "leakscan old"}]
+    hooks.write_json(settings, value)
+    assert hooks.install_agent_hook(settings) == "updated"
+    value = json.loads(settings.read_text())
+    assert value["other"] == 1 and [h["command"] for h in value["hooks"]["PreToolUse"][0]["hooks"]] == ["x", hooks.AGENT_COMMAND] and list(settings.parent.iterdir()) == [settings]
+    settings.write_text("{")
+    assert hooks.agent_status(settings)[0] == "error"
+    with pytest.raises(hooks.HookError):
+        hooks.install_agent_hook(settings)
 
 
 def test_streams(spark, tmp_path):

@@ -142,7 +142,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "documents"):
+    for t in ("region", "nation", "customer", "orders", "lineitem", "documents"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want, got = con.execute(Q.oracle_sql()[name]), Q.queries()[name](spark, DATA)
     names = sorted(got.columns)
