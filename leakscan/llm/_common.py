@@ -20,9 +20,11 @@ M64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests, local mode) a temporary one is set."""
+    """The cluster's shared folder; only in local mode, where none is named, a temporary one is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = getattr(spark, "_leakscan_shared", None) or "file://" + tempfile.mkdtemp(prefix="leakscan-")
         spark._leakscan_shared = where
     return where.rstrip("/")

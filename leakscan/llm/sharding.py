@@ -44,7 +44,7 @@ def propagate(nodes: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS
         counts = nodes.groupBy("hub", "shard").agg(F.count("*").alias("n"))
         open_ = ~F.col("shard").isin(full) | (F.col("n") > 1) if full else F.lit(True)
         target = counts.groupBy("hub").agg(F.max_by("shard", F.struct(open_.cast("int"), "n", F.xxhash64("hub", "shard"))).alias("to"), F.sum("n").alias("all"))
-        step = durable(nodes.join(target, "hub"), "wants")
+        step = durable(nodes.join(durable(target, "targets"), "hub"), "wants")  # of stored tables: rows of a large hub can be split
         wants = np.zeros((shards, shards))
         for r in step.where("shard <> to").groupBy("shard", "to").count().collect():
             wants[r["shard"], r["to"]] = r["count"]

@@ -1,4 +1,11 @@
-"""The stages of the corpus pipeline. Each takes (spark, docs, sf_dir); all but the last return documents' columns."""
+"""The stages of the corpus pipeline. Each takes (spark, docs, sf_dir); all but the last return documents' columns.
+
+Defined results: of ``docs`` the columns of documents are used and returned, whatever else it has, names that the stages use
+themselves included. A null or empty text scores as one without words and fails the quality stage's base rule; a row without
+id is judged by its text and is never a later copy; repeated rows share their fate, and the join keeps them as one document;
+a table without rows gives none. Without labelled rows of both classes, no text is toxic and no rule is learned. The language
+of a row without one has the bound ``BOUND``.
+"""
 
 from __future__ import annotations
 
