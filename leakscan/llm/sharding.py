@@ -97,7 +97,7 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     base = durable(base, "base")
     total = base.count()
     start = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
-    hubs = base.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
+    hubs = durable(base.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub"), "hubs")
     nodes = durable(base.join(hubs, "hub", "left_semi").select("row", "hub", start.alias("shard")), "nodes")
     moved = propagate(nodes, shards, total // shards)
     rows = base.join(moved.select("row", F.col("shard").alias("to")), "row", "left")
