@@ -35,6 +35,8 @@ COMMON = (
 ).split()
 #: Content words of a chain.
 CHAIN = 2
+#: Likeness from which two fingerprints match.
+THRESHOLD = 0.8
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -79,9 +81,9 @@ def fingerprint(signature: np.ndarray) -> str:
     return f"{len(signature)}:{(signature >> np.uint64(32)).astype('>u4').tobytes().hex()}"
 
 
-def length_partition(n: int, threshold: float) -> int:
-    """Sets that reach the threshold are in the same partition or in neighbouring ones."""
-    return int(math.log(n) / -math.log(threshold)) if n else -1
+def length_partition(n: int, threshold: float = THRESHOLD) -> int:
+    """Sets that reach the threshold are in the same partition or in neighbouring ones; the empty set has one of its own."""
+    return int(math.log(n) / -math.log(threshold) + 1e-9) if n else -2
 
 
 def likeness(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
@@ -90,16 +92,21 @@ def likeness(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
         return float(len(a) == len(b))
     if threshold and abs(length_partition(len(a), threshold) - length_partition(len(b), threshold)) > 1:
         return 0.0
-    need, common, step = threshold / (1 + threshold) * (len(a) + len(b)), 0, 256
+    need, common, step = threshold / (1 + threshold) * (len(a) + len(b)) - 1e-9, 0, 256
     for i in range(0, len(a), step):
         part = a[i : i + step]
         common += int((b[np.minimum(np.searchsorted(b, part), len(b) - 1)] == part).sum())
-        if common + len(a) - i - step < need and i + step < len(a):
+        if common + max(len(a) - i - step, 0) < need:
             return 0.0
     score = common / (len(a) + len(b) - common)
     return score if score >= threshold else 0.0
 
 
+def matches(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    """Whether two sets reach the threshold, told by their length partitions or by a Jaccard that stops early."""
+    return likeness(a, b, threshold) > 0
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
     """(bucket, guest, doc_id, text): each bucket holds neighbours in the order of ids, and the next bucket's first as a guest."""
     n = partitions_for(docs)
@@ -117,12 +124,13 @@ def _in_order(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_with_next(docs: DataFrame) -> DataFrame:
-    """For each row its fingerprint, that of its edited text, and the likeness to that and to the next row's.
+    """For each row its fingerprint, that of its edited text, the likeness to that and to the next row's, the partition of
+    the fingerprint's length, and whether the two others match it (at ``THRESHOLD``, by the pruned comparison).
 
     The edited text has its last quarter replaced by as much of the next document's beginning, or all of it."""
     ordered = _in_order(docs.select("doc_id", "text"))
-    schema = id_and(ordered, "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    schema = id_and(ordered, "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, length_partition int, edited_matches boolean, next_matches boolean")
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_()]
 
     def rows_of(held: list[tuple]) -> pa.RecordBatch | None:
         """``held``: (bucket, guest, id, text, signature); of each home row the next one is its neighbour."""
@@ -131,7 +139,7 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
             return None
         edited = [x[3][: len(x[3]) - len(x[3]) // 4] + y[3][: len(x[3]) // 4] for x, y in pairs]
         rows = [
-            (len(x[3]), hashlib.sha256(e.encode()).hexdigest(), fingerprint(x[4]), fingerprint(s), likeness(x[4], s), likeness(x[4], y[4]))
+            (len(x[3]), hashlib.sha256(e.encode()).hexdigest(), fingerprint(x[4]), fingerprint(s), likeness(x[4], s), likeness(x[4], y[4]), length_partition(len(x[4])), matches(x[4], s), matches(x[4], y[4]))
             for (x, y), e, s in zip(pairs, edited, signatures(edited))
         ]
         return pa.RecordBatch.from_arrays([pa.array([x[2] for x, _ in pairs], schema_id), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], schema.names)

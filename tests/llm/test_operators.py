@@ -94,12 +94,35 @@ def test_fingerprints(docs, empty, by_id):
     assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows) == want
     same = {r["fingerprint"] for r in rows if r["doc_id"] in (4, 5)}
     assert len(same) == 1 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
+    sets = {(i, x): set(s.tolist()) for (i, x), s in zip(order, spotsigs.signatures([x for _, x in order]))}
+    jaccard_of = lambda a, b: len(a & b) / len(a | b) if a and b else float(not a and not b)
+    want = collections.Counter()
+    for k, (i, x) in enumerate(order):
+        y, q = order[(k + 1) % len(order)], len(x) // 4
+        edited = set(spotsigs.signatures([x[: len(x) - q] + y[1][:q]])[0].tolist())
+        e, n = jaccard_of(sets[i, x], edited), jaccard_of(sets[i, x], sets[y])
+        want[i, round(e, 9), round(n, 9), e >= spotsigs.THRESHOLD, n >= spotsigs.THRESHOLD] += 1
+    assert collections.Counter((r["doc_id"], round(r["near_edited"], 9), round(r["near_next"], 9), r["edited_matches"], r["next_matches"]) for r in rows) == want
+    assert any(w[3] for w in want) and any(w[4] for w in want) and not all(w[3] for w in want)
     a, b = spotsigs.signatures([texts()[4], texts()[6]])
     exact = len(set(a) & set(b)) / len(set(a) | set(b))
     assert spotsigs.likeness(a, b) == exact > 0.8 and spotsigs.likeness(a, b, 0.8) == exact and spotsigs.likeness(a, b, 0.999) == 0
     assert spotsigs.fingerprint_with_next(empty).count() == 0 and spotsigs.fingerprint_with_next(docs.where("doc_id = 4")).first()["near_next"] == 1
 
 
+def test_pruned_comparison():
+    """Partitions and early stops never change what a plain Jaccard says."""
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        n = int(rng.integers(1, 900))
+        a = np.unique(rng.integers(0, 1 << 40, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.75, 0.8, 0.82, 0.9, 1.0])], rng.integers(0, 1 << 40, int(rng.integers(0, 1 + n // 8)), dtype=np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        exact = common / (len(a) + len(b) - common) if len(b) else 0.0
+        for t in (0.5, 0.8, 0.95):
+            assert spotsigs.matches(a, b, t) == (exact >= t) and spotsigs.likeness(a, b, t) == (exact if exact >= t else 0)
+
+
 def test_fingerprints_at_every_length():
     """Near copies are alike on both sides of any word count."""
     rnd = random.Random(8)
