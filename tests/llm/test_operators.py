@@ -321,6 +321,30 @@ def test_jaccard(docs, empty, by_id, monkeypatch):
     assert jaccard.link_components(empty).count() == 0
 
 
+def test_jaccard_large_group(spark, monkeypatch):
+    """Many texts share a common passage and do not link; links hidden among them are found, in several blocks and bands."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "LIST", 4)
+    rnd = random.Random(6)
+    fresh = lambda n: ["".join(rnd.choices("abcdefgh", k=7)) for _ in range(n)]
+    passage, rows = fresh(100), []
+    for n in [40] * 30 + [50] * 25 + [64] * 30 + [100] * 20:
+        rows.append(passage[:n] + fresh(n // 6))  # most shingles of each are common, too few for a link
+    for k in range(0, 100, 9):
+        rows.append([*rows[k][:-1], *fresh(1)])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(2)
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[i] = min(root[i], root[j])
+    compared, plain = [], jaccard._group_links
+    monkeypatch.setattr(jaccard, "_group_links", lambda *a: compared.append(plain(*a)) or compared[-1])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_components(df).collect()}
+    assert compared[0] is not None and got == dict(enumerate(root)) and len(set(root)) < len(rows)
+
+
 def test_components(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 49), (7, 7), (None, 3), (60, 50)], "a long, b long")
     got = dict(map(tuple, components(df).collect()))
