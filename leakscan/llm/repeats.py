@@ -10,7 +10,7 @@ different segments (ends of a passage that very many documents share) is dealt a
 neighbouring windows, and the bytes that all windows of a block share, together with the anchor, are the key of the next
 groups, which go the same way; blocks get smaller until one is a single window, so each window is in a group that fits.
 A segment gives a bounded number of blocks, whatever the size of its group. What goes back to the documents is the
-complement: the runs of windows met once. ``repeat_groups`` gives the maximal repeats themselves, with all occurrences.
+complement: the runs of windows met once.
 
 Anchors and segments are compared by 64-bit hashes, windows in suffix arrays by their bytes.
 
