@@ -345,6 +345,34 @@ def test_jaccard_large_group(spark, monkeypatch):
     assert compared[0] is not None and got == dict(enumerate(root)) and len(set(root)) < len(rows)
 
 
+@pytest.mark.parametrize("hub, parts", [(1024, 2), (4, 0.1)])
+def test_jaccard_near_copies_travel_once(spark, monkeypatch, hub, parts):
+    """Sets sent for verification grow with a group of near copies, not with its pairs; hot hubs and later parts lose no link."""
+    monkeypatch.setattr(jaccard, "HUB", hub)
+    monkeypatch.setattr(jaccard, "PARTS", parts)
+    rnd = random.Random(8)
+    fresh = lambda n: ["".join(rnd.choices("abcdefgh", k=7)) for _ in range(n)]
+    rows = []
+    for _ in range(3):
+        base = fresh(200)
+        rows += [[*base[:k], *fresh(1), *base[k + 1 :]] for k in rnd.sample(range(200), 30)]
+    for _ in range(9):  # a chain: only neighbours link
+        rows.append(rows[-1][12:] + fresh(12))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(9)
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in rows]
+    root = list(range(len(rows)))
+    for _ in root:
+        for i in root.copy():
+            for j in range(len(rows)):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    sent, plain = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *a: sent.append(pairs.count()) or plain(pairs, *a))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_components(df).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) == 3
+    assert sum(sent) <= 2 * len(rows)
+
+
 def test_components(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 49), (7, 7), (None, 3), (60, 50)], "a long, b long")
     got = dict(map(tuple, components(df).collect()))
