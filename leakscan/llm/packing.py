@@ -21,15 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, id_and, tidy
+from ._common import durable, id_and, slices, text_buffers, tidy
 
 END = b"\0\0\0\0"
 #: Encoded words a worker keeps in each of two generations: what the older one has and is met again moves to the newer.
 WORDS_KEPT = 150_000
+#: Bytes of text split at once.
+PART = 4 << 20
 #: Lower-case Latin letters without marks that could combine, and ASCII punctuation that starts no contraction.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f\xa0-\xb6\xb8-\xbf])+").fullmatch
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -55,33 +58,49 @@ class WordEncoder:
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.known) > WORDS_KEPT:
             self.known, self.older = {}, self.known
-        new, ends = [w for w in words if w not in self.known], {}
-        self.known.update((w, self.older[w]) for w in new if w in self.older)
-        new = {w for w in new if w not in self.known}
-        for w in new:
+        known, older, ends = self.known, self.older, {}
+
+        def new(some) -> list[bytes]:
+            some = [w for w in some if w not in known]
+            known.update((w, older[w]) for w in some if w in older)
+            return [w for w in some if w not in older]
+
+        plain, other = [], []
+        for w in new(words):
+            (plain if LETTERS(w) else other).append(w)
+        for w in other:
             core = w.rstrip(PUNCTUATION)
             if len(core) < len(w) and LETTERS(core):
                 ends[w] = core, w[len(core) :]
-        whole = [w for w in (new - set(ends)).union(*ends.values()) if w not in self.known]
+        plain = {*plain, *new({core for core, _ in ends.values()})}
+        whole = {w for w in other if w not in ends}.union(new({end for _, end in ends.values()}))
         merge = self.tokenizer.model.tokenize
-        self.known.update((w, array("I", [t.id for t in merge(w.decode("latin-1").translate(AS_CHARACTER))]).tobytes()) for w in whole if LETTERS(w))
-        whole = [w for w in whole if w not in self.known]
-        for k in range(0, len(whole), 10_000):
-            part = whole[k : k + 10_000]
+        known.update((w, array("I", [t.id for t in merge(w.decode("latin-1").translate(AS_CHARACTER))]).tobytes()) for w in plain)
+        rest = list(whole)
+        for k in range(0, len(rest), 10_000):
+            part = rest[k : k + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in ends.items())
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        for at in range(0, len(texts), 1024):
-            words = [(t if b"<|" in t else t.lower()).split() for t in texts[at : at + 1024]]
-            self._learn(set().union(*words))
-            get = self.known.__getitem__
-            yield from [b"".join(map(get, w)) for w in words]
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
+        known.update((w, known[a] + known[b]) for w, (a, b) in ends.items())
+
+    def encode(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a string column as little-endian unsigned 32-bit numbers; a null counts as empty.
+
+        Arrow splits the texts and numbers their distinct words, so only those are looked up one by one."""
+        text, offsets = text_buffers(column)
+        for a, b in slices(offsets, PART):  # arrays of their own: ascii_lower misreads one whose first offset isn't 0
+            texts = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(offsets[a : b + 1] - offsets[a]), pa.py_buffer(text[offsets[a] : offsets[b]]))
+            words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+            coded, first = words.flatten().dictionary_encode(), words.offsets.to_numpy()
+            distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+            self._learn(distinct)
+            ids = pa.array(list(map(self.known.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+            at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[first].tolist()
+            data = memoryview(ids.buffers()[2] or b"")
+            yield from (bytes(data[i:j]) for i, j in zip(at, at[1:]))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -102,8 +121,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFra
         words, seen, part = encoder(tokenizer_path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
-            texts = [b"" if t is None else t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            for k, ids in enumerate(words.encode(texts)):
+            for k, ids in enumerate(words.encode(batch.column(1))):
                 ids += END
                 for p in range(0, len(ids) // 4, capacity):
                     chunk = ids[4 * p : 4 * (p + capacity)]

@@ -68,6 +68,21 @@ def test_packing(docs, empty, by_id):
     assert packing.pack(empty, WORD_FILE).count() == 0
 
 
+def test_word_encoder_looks_up_distinct_words_once():
+    """The words of a batch are numbered by Arrow; slices, white space, special names and case come out as the tokenizer has them."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, words = Tokenizer.from_file(WORD_FILE), packing.WordEncoder(WORD_FILE)
+    rows = ["the end. " * 500, None, "", " \t\r\n\x0b\x0c ", "The END of\x0bÀ É, end.", "<|endoftext|> THE End", "x<| THE", "lone ... it's (end)!", "日本 ß\u00a0é"] * 3
+    asked, plain = [], words._learn
+    words._learn = lambda distinct: asked.extend(distinct) or plain(distinct)
+    for column in (pa.array(rows, pa.string()), pa.array(["A sliced ROW", *rows], pa.string()).slice(1), pa.array(rows, pa.large_string())):
+        got = [np.frombuffer(x, "<u4").tolist() for x in words.encode(column)]
+        assert got == [t.encode(x or "", add_special_tokens=False).ids for x in rows]
+    assert len(asked) == 3 * len(set(asked))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan(seed):
     rnd = random.Random(seed)
