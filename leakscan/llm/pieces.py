@@ -39,7 +39,7 @@ class DoubleArray:
         order = sorted(range(len(keys)), key=keys.__getitem__)
         size = 1 << 16
         self.base, self.check, self.value = [0] * size, [-1] * size, [-1] * size
-        self.check[0] = 0
+        # no state is a child in the first 257 places: a byte of zero at a state without children leads nowhere, as do all others
         free = wide = 257  # where the search for room starts: for one child, for several
         stack = [(0, 0, len(order), 0)] if order else []
         while stack:
@@ -80,6 +80,18 @@ class DoubleArray:
             self.value += [-1] * more
 
 
+class Parts(dict):
+    """(packed ids, summed score) of parts of texts; one that is not known yet is encoded when it is asked for."""
+
+    def __init__(self, best):
+        self.best = best
+
+    def __missing__(self, part: str) -> tuple[bytes, float]:
+        ids, score = self.best(part)
+        self[part] = found = array("I", ids).tobytes(), score
+        return found
+
+
 class UnigramPieces:
     """Pieces with log scores; ``kinds`` are "piece", "byte" or "other" (never matched)."""
 
@@ -95,36 +107,39 @@ class UnigramPieces:
         splits = not any(MARK in p.lstrip(MARK) for p in (pieces[i] for i in self.ids))
         self.parts = re.compile((f"[{lone}]|" if lone else "") + f"{MARK}*[^{MARK}{lone}]+|{MARK}+" if splits else "(?s).+").findall
         self.raw = [bytes([self.byte_of[i]]) if k == "byte" else p.encode() if k == "piece" else b"" for i, (p, k) in enumerate(zip(pieces, kinds))]
-        self.known: dict[str, bytes] = {}
-        self.cost: dict[str, float] = {}
+        self.gain = [scores[self.ids[k]] if k >= 0 else None for k in self.trie.value]  # by state: the score of the piece that ends there
+        self.known = Parts(self.best)
 
     def best(self, text: str) -> tuple[tuple[int, ...], float]:
         """Ids and summed score of the best path through ``text`` (already normalised)."""
-        data, base, check, value, scores, ids = text.encode(), self.trie.base, self.trie.check, self.trie.value, self.scores, self.ids
-        n, size = len(data), len(self.trie.check)
-        score, back = [-math.inf] * (n + 1), [(-1, -1)] * (n + 1)
+        data, base, check, gain, ids = text.encode(), self.trie.base, self.trie.check, self.gain, self.ids
+        n = len(data)
+        score, back, by = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)  # by: the last step's state, -1 for a character without pieces
         score[0], i = 0.0, 0
         while i < n:
-            first, here, state, j, single = data[i], score[i], 0, i, False
-            width = 1 if first < 128 else 2 if first < 224 else 3 if first < 240 else 4
-            while j < n:
-                to = base[state] + data[j]
-                if to >= size or check[to] != state or not to:
+            here, state, j = score[i], 0, i
+            first = data[i]
+            after = i + (1 if first < 128 else 2 if first < 224 else 3 if first < 240 else 4)
+            single = False
+            for c in data[i:]:
+                to = base[state] + c
+                if check[to] != state:
                     break
-                state, j = to, j + 1
-                k = value[state]
-                if k >= 0:
-                    new = here + scores[ids[k]]
-                    if new > score[j]:
-                        score[j], back[j] = new, (i, ids[k])
-                    single = single or j == i + width
-            if not single and here + self.unknown > score[i + width]:
-                score[i + width], back[i + width] = here + self.unknown, (i, -1)
-            i += width
-        out, j = [], n
+                state = to
+                j += 1
+                s = gain[state]
+                if s is not None:
+                    if here + s > score[j]:
+                        score[j], back[j], by[j] = here + s, i, state
+                    if j == after:
+                        single = True
+            if not single and here + self.unknown > score[after]:
+                score[after], back[after], by[after] = here + self.unknown, i, -1
+            i = after
+        out, j, value = [], n, self.trie.value
         while j > 0:
-            i, piece = back[j]
-            out += [piece] if piece >= 0 else [self.byte_id.get(b, 0) for b in reversed(data[i:j])]
+            i, state = back[j], by[j]
+            out += [ids[value[state]]] if state >= 0 else [self.byte_id.get(b, 0) for b in reversed(data[i:j])]
             j = i
         return tuple(reversed(out)), score[n]
 
@@ -133,12 +148,9 @@ class UnigramPieces:
         if not text:
             return b"", 0.0
         if len(self.known) > PARTS_KEPT:
-            self.known, self.cost = {}, {}
-        parts = self.parts(MARK + text.replace(" ", MARK))
-        for part in {p for p in parts if p not in self.known}:
-            ids, self.cost[part] = self.best(part)
-            self.known[part] = array("I", ids).tobytes()
-        return b"".join(map(self.known.__getitem__, parts)), math.fsum(map(self.cost.__getitem__, parts))
+            self.known.clear()
+        packed, scores = zip(*map(self.known.__getitem__, self.parts(MARK + text.replace(" ", MARK))))
+        return b"".join(packed), math.fsum(scores)
 
     def encode(self, text: str) -> tuple[list[int], float]:
         packed, score = self.encode_packed(text)

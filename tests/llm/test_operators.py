@@ -501,3 +501,14 @@ def test_viterbi_is_best():
     for s in ("ababab", "abaaba", "éab", "bbb", "aé"):
         ids, score = m.encode(s)
         assert abs(score - brute("▁" + s)) < 1e-9 and m.decode(ids) == s
+
+
+def test_parts_are_looked_up_once():
+    """One look-up gives a part's ids and score, and encodes it if need be; zero bytes lead nowhere in the trie."""
+    m = pieces.UnigramPieces(["▁", "a", "ab", "b", "▁a"], [-1.0, -1.5, -2.0, -1.75, -2.25], ["piece"] * 5)
+    asked, plain = collections.Counter(), m.best
+    m.known.best = lambda part: asked.update([part]) or plain(part)
+    assert m.encode("ab a ab b") == ([0, 2, 4, 0, 2, 0, 3], -3.0 - 2.25 - 3.0 - 2.75)
+    assert asked == {"▁ab": 1, "▁a": 1, "▁b": 1} and m.known["▁a"][1] == -2.25
+    for text, rest in (("\0", -1.0), ("\0a", -2.5), ("a\0b", -4.0), ("\0\0", m.unknown - 1.0)):
+        assert m.encode(text)[1] == m.unknown + rest
