@@ -364,6 +364,7 @@ def test_jaccard_large_group(spark, monkeypatch):
 def test_jaccard_near_copies_travel_once(spark, monkeypatch, hub, parts):
     """Sets sent for verification grow with a group of near copies, not with its pairs; hot hubs and later parts lose no link."""
     monkeypatch.setattr(jaccard, "HUB", hub)
+    monkeypatch.setattr(jaccard, "RARE", 1 << 20)  # no shingle counts as common: lists give all pairs of a group
     monkeypatch.setattr(jaccard, "PARTS", parts)
     rnd = random.Random(8)
     fresh = lambda n: ["".join(rnd.choices("abcdefgh", k=7)) for _ in range(n)]
@@ -371,6 +372,7 @@ def test_jaccard_near_copies_travel_once(spark, monkeypatch, hub, parts):
     for _ in range(3):
         base = fresh(200)
         rows += [[*base[:k], *fresh(1), *base[k + 1 :]] for k in rnd.sample(range(200), 30)]
+    rows.append(fresh(200))
     for _ in range(9):  # a chain: only neighbours link
         rows.append(rows[-1][12:] + fresh(12))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(9)
@@ -384,7 +386,7 @@ def test_jaccard_near_copies_travel_once(spark, monkeypatch, hub, parts):
     sent, plain = [], jaccard._verified
     monkeypatch.setattr(jaccard, "_verified", lambda pairs, *a: sent.append(pairs.count()) or plain(pairs, *a))
     got = {r["doc_id"]: r["component_id"] for r in jaccard.link_components(df).collect()}
-    assert got == dict(enumerate(root)) and len(set(root)) == 3
+    assert got == dict(enumerate(root)) and len(set(root)) == 4
     assert sum(sent) <= 2 * len(rows)
 
 
