@@ -42,6 +42,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the stored tables of ours that ``df`` reads, when nothing else will read them; other files are left alone."""
+    jvm, where = df.sparkSession.sparkContext._jvm, shared_dir(df.sparkSession)
+    shared = jvm.org.apache.hadoop.fs.Path(where).toUri().getPath()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        if path.getName().startswith("leakscan-") and path.getParent().toUri().getPath() == shared:
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def freed(df: DataFrame) -> None:
     """Let Spark delete the shuffle files of what has been stored: its cleaner follows the driver's garbage collection, every
     half hour if nothing else asks for it."""

@@ -12,7 +12,12 @@ groups, which go the same way; blocks get smaller until one is a single window,
 A segment gives a bounded number of blocks, whatever the size of its group. What goes back to the documents is the
 complement: the runs of windows met once.
 
-Anchors and segments are compared by 64-bit hashes, windows in suffix arrays by their bytes.
+Where runs of ``words`` words are asked for too, every byte from the first to the last word of a run of so many words that
+also starts elsewhere is covered, whatever white space parts the words and however few bytes they have. Windows of words are
+anchored and cut into segments like windows of bytes; where an anchor has different segments, their windows are counted by
+hash, which needs no groups.
+
+Anchors and segments are compared by 64-bit hashes, as are windows of words; windows in suffix arrays by their bytes.
 
 Defined results: null and empty texts have no bytes and nothing is removed; texts shorter than ``least`` lose nothing; a
 null id is carried through; repeated rows are copies of each other, and copies of ``least`` bytes or more go wholly.
@@ -23,16 +28,19 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTE_CODE, durable, id_and, mix64, partitions_for, powers, text_buffers, tidy
+from ._common import BYTE_CODE, discard, durable, freed, id_and, mix64, partitions_for, powers, slices, text_buffers, tidy, word_hashes, word_spans
 
 LEAST = 400
 GRAM = 16
+#: Words of a gram that anchors windows of words.
+WORD_GRAM = 8
 #: Different segments of a group up to which its suffix array is built in one task (about 0.1 MB each while sorting).
 GROUP = 1024
 #: Windows of a block when a larger group is dealt again, then again.
@@ -42,14 +50,14 @@ STEP = 0x9E3779B97F4A7C15 | 1
 PLACE_BITS = 31
 
 
-def window_hashes(data: np.ndarray, n: int) -> np.ndarray:
-    """The hash of the ``n`` bytes from each place that has as many."""
-    size = len(data)
+def window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the ``n`` codes (of bytes or words) from each place that has as many."""
+    size = len(codes)
     if size < n:
         return np.zeros(0, np.uint64)
     p = powers(STEP, size + 1)
     total = np.zeros(size + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * p[:size], out=total[1:])
+    np.cumsum(codes * p[:size], out=total[1:])
     inverse = powers(pow(STEP, -1, 1 << 64), size + 1)
     return mix64((total[n:] - total[:-n]) * inverse[: size - n + 1])
 
@@ -67,15 +75,15 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     return (low - (np.minimum(back[: size - n + 1], ahead[n - 1 : size]) & low)).astype(np.int64)
 
 
-def segments(data: np.ndarray, least: int):
-    """For a text: each anchor's hash, its segment's first window, number of windows, place of the anchor in it, and the segment's hash."""
-    grams = window_hashes(data, GRAM)
-    place = sliding_least(grams, least - GRAM + 1)
+def segments(codes: np.ndarray, least: int, gram: int = GRAM):
+    """For a text's codes: each anchor's hash, its segment's first window, number of windows, place of the anchor in it, and the segment's hash."""
+    grams = window_hashes(codes, gram)
+    place = sliding_least(grams, least - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     count = np.diff(np.append(first, len(place)))
-    size = len(data)
+    size = len(codes)
     total = np.zeros(size + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * powers(STEP, size + 1)[:size], out=total[1:])
+    np.cumsum(codes * powers(STEP, size + 1)[:size], out=total[1:])
     inverse = powers(pow(STEP, -1, 1 << 64), size + 1)
     whole = mix64((total[first + count + least - 1] - total[first]) * inverse[first] ^ mix64(count.astype(np.uint64)))
     offset = place[first] - first
@@ -87,17 +95,37 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__k", F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")))
 
 
-def text_segments(docs: DataFrame, least: int) -> DataFrame:
+def text_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text: its words' codes, and where in its bytes they begin and end."""
+    data, offsets = text_buffers(column)
+    for a, b in slices(offsets, 1 << 20):
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        begin, end, first = word_spans(part, at)
+        codes = word_hashes(part, begin, end)
+        for k in range(b - a):
+            own = slice(first[k], first[k + 1])
+            yield codes[own], begin[own] - at[k], end[own] - at[k]
+
+
+def _text_codes(column: pa.Array, words: bool) -> Iterator[np.ndarray]:
+    if words:
+        yield from (codes for codes, _, _ in text_words(column))
+    else:
+        data, offsets = text_buffers(column)
+        yield from (BYTE_CODE[data[offsets[k] : offsets[k + 1]]] for k in range(len(column)))
+
+
+def text_segments(docs: DataFrame, least: int, words: bool = False) -> DataFrame:
     """(anchor, segment, n, k, first, windows, at): the different segments of a batch of keyed texts, how often the batch has
-    each, and where one of them is; ``at`` is the anchor's place in the segment."""
+    each, and where one of them is; ``at`` is the anchor's place in the segment. Places are those of bytes or of ``words``."""
+    gram = min(WORD_GRAM if words else GRAM, least)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = text_buffers(b.column(1))
             keys, out = b.column(0).to_numpy(), []
-            for k in range(b.num_rows):
-                if offsets[k + 1] - offsets[k] >= least:
-                    anchor, first, count, at, whole = segments(data[offsets[k] : offsets[k + 1]], least)
+            for k, codes in enumerate(_text_codes(b.column(1), words)):
+                if len(codes) >= least:
+                    anchor, first, count, at, whole = segments(codes, least, gram)
                     out.append((anchor.view(np.int64), whole.view(np.int64), np.full(len(first), keys[k]), first, count, at))
             if out:
                 anchor, whole, key, first, count, at = (np.concatenate(c) for c in zip(*out))
@@ -270,9 +298,9 @@ def _with_kinds(rows: DataFrame, name: str) -> DataFrame:
     return rows.join(sizes, "anchor", "left")
 
 
-def segment_kinds(docs: DataFrame, least: int) -> DataFrame:
+def segment_kinds(docs: DataFrame, least: int, words: bool = False) -> DataFrame:
     """The different segments of the keyed ``docs``: (anchor, segment, n, k, first, windows, at, kinds)."""
-    cuts = text_segments(docs, least).groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("k", "first", "windows", "at")).alias("one"))
+    cuts = text_segments(docs, least, words).groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("k", "first", "windows", "at")).alias("one"))
     return _with_kinds(durable(cuts.select("anchor", "segment", "n", "one.*"), "kinds"), "sizes")
 
 
@@ -300,9 +328,73 @@ def unique_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", with_text: bool = True) -> DataFrame:
-    """``docs`` with a struct ``into``: n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, the kept text."""
+def unique_word_windows(docs: DataFrame, least: int) -> DataFrame:
+    """(k, runs), stored: runs of windows of ``least`` words of the keyed ``docs`` that stand nowhere else, places in words.
+
+    A segment whose anchor has no other kind is settled whole; of the others each window is counted. Runs that touch are one,
+    so a text that shares nothing has one run."""
+    kinds = segment_kinds(docs, least, words=True)
+    each = kinds.where("kinds > 1").groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct("n", "first", "windows")).alias("spans"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 512):
+                part, out = b.slice(a, 512), []
+                for key, spans, (codes, _, _) in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), text_words(part.column(1))):
+                    found = window_hashes(codes, least).view(np.int64)
+                    for s in spans:
+                        place = np.arange(s["first"], s["first"] + s["windows"])
+                        out.append((found[place], np.full(len(place), s["n"]), np.full(len(place), key), place))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["window", "n", "k", "begin"])
+
+    counted = docs.select("__k", F.col("text").cast("string")).join(each, "__k").mapInArrow(tidy(windows), "window long, n long, k long, begin long")
+    once = counted.groupBy("window").agg(F.sum("n").alias("n"), F.min(F.struct("k", "begin")).alias("one")).where("n = 1").select("one.*")
+    whole = kinds.where("kinds is null and n = 1").select("k", F.col("first").alias("begin"), (F.col("first") + F.col("windows")).alias("end"))
+    each = whole.unionByName(once.withColumn("end", F.col("begin") + 1)).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, runs = b.column(1).offsets.to_numpy(), b.column(1).flatten()
+            begin, end = (runs.field(i).to_numpy() for i in (0, 1))
+            if len(begin):
+                new = np.concatenate([[True], begin[1:] != end[:-1]])
+                new[offsets[:-1] - offsets[0]] = True
+                at = np.flatnonzero(new)
+                lists = pa.StructArray.from_arrays([begin[at], end[np.append(at[1:], len(end)) - 1]], ["begin", "end"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.searchsorted(at, offsets - offsets[0]).astype(np.int32), lists)], ["k", "runs"])
+
+    stored = durable(each.mapInArrow(tidy(merged), "k long, runs array<struct<begin: long, end: long>>"), "words")
+    discard(kinds)
+    return stored
+
+
+def repeated_windows(count: int, alone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs of ``count`` windows outside the sorted runs ``alone``."""
+    edges = [0, *(x for run in alone for x in run), max(count, 0)]
+    return [(a, z) for a, z in zip(edges[::2], edges[1::2]) if a < z]
+
+
+def joined_runs(runs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs that the given ones make; runs that touch are one."""
+    begin, end = [], []
+    for a, z in sorted(runs):
+        if end and a <= end[-1]:
+            end[-1] = max(end[-1], z)
+        else:
+            begin.append(a)
+            end.append(z)
+    return begin, end
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", with_text: bool = True, words: int = 0) -> DataFrame:
+    """``docs`` with a struct ``into``: n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, the kept text.
+
+    With ``words``, runs of so many words that stand elsewhere go too."""
     names, source = docs.columns, keyed(docs)
+    found = None
+    if words:
+        found = unique_word_windows(source, words).select(F.col("k").alias("__k"), F.col("runs").alias("__words"))
+        freed(docs)
     alone = unique_windows(source, least).groupBy(F.col("k").alias("__k")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__alone"))
     schema = id_and(docs, f"`{into}` struct<n_bytes: long, n_removed: long, n_spans: long, kept_sha256: string, kept_text: string>", *names)
     kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
@@ -313,12 +405,20 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", w
                 b = whole.slice(a, 1024)
                 data, offsets = text_buffers(b.column(0))
                 data, out = data.tobytes(), []
-                for k, found in enumerate(b.column(1).to_pylist()):
+                parted = zip(b.column(2).to_pylist(), text_words(b.column(0))) if words else repeat(None)
+                for k, (found, by_words) in enumerate(zip(b.column(1).to_pylist(), parted)):
                     text = data[int(offsets[k]) : int(offsets[k + 1])]
                     begin, end = covered_bytes(len(text), [(s["begin"], s["end"]) for s in found or ()], least)
+                    if words:
+                        alone, (codes, start, stop) = by_words
+                        runs = repeated_windows(len(codes) - words + 1, [(s["begin"], s["end"]) for s in alone or ()])
+                        begin, end = joined_runs([*zip(begin, end), *((int(start[i]), int(stop[j + words - 2])) for i, j in runs)])
                     kept = b"".join(text[i:j] for i, j in zip([0, *end], [*begin, len(text)]))
                     out.append({"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(begin), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None})
-                yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, kind)], schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[3 if words else 2 :], pa.array(out, kind)], schema.names)
 
-    joined = source.join(alone, "__k", "left").select(F.col("text").cast("string").alias("__text"), "__alone", *(F.col(f"`{n}`") for n in names))
+    joined, lists = source.join(alone, "__k", "left"), ["__alone"]
+    if words:
+        joined, lists = joined.join(found, "__k", "left"), ["__alone", "__words"]
+    joined = joined.select(F.col("text").cast("string").alias("__text"), *lists, *(F.col(f"`{n}`") for n in names))
     return joined.mapInArrow(tidy(cut), schema)

@@ -16,6 +16,8 @@ from . import jaccard, packing, quality, repeats, toxicity
 from .queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words from which a passage that stands elsewhere is a repeat.
+PASSAGE = 51
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +49,9 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every byte of a 400-byte string that also starts elsewhere; all documents stay."""
-    cut = repeats.remove_repeats(docs.select(*COLUMNS), into="__repeats")
+    """Cuts every byte of a 400-byte string that also starts elsewhere, and every run of over 50 words that does, however
+    short its words; all documents stay."""
+    cut = repeats.remove_repeats(docs.select(*COLUMNS), into="__repeats", words=PASSAGE)
     text = F.when(F.col("__repeats.n_removed") > 0, F.col("__repeats.kept_text")).otherwise(F.col("text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 

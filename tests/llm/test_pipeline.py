@@ -130,3 +130,46 @@ def test_without_rows_or_labels(spark, data, tmp_path):
     assert stages.toxicity_stage(spark, docs, str(tmp_path)).count() == docs.count()
     kept = stages.quality_stage(spark, docs, str(tmp_path))
     assert kept.columns == stages.COLUMNS and any("#" in r["text"] for r in kept.collect())
+
+
+def without_passages(table, least, words):
+    """Brute force: bytes under a string of ``least`` bytes, or from the first to the last of so many ``words``, that stand elsewhere."""
+    data = [(r[1] or "").encode() for r in table]
+    seen = collections.Counter(b[k : k + least] for b in data for k in range(len(b) - least + 1))
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in data]
+    runs = [[tuple(b[x:y] for x, y in s[k : k + words]) for k in range(len(s) - words + 1)] for b, s in zip(data, spans)]
+    met = collections.Counter(x for r in runs for x in r)
+    out = []
+    for r, b, s, w in zip(table, data, spans, runs):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - least + 1):
+            if seen[b[k : k + least]] > 1:
+                gone[k : k + least] = True
+        for k, x in enumerate(w):
+            if met[x] > 1:
+                gone[s[k][0] : s[k + words - 1][1]] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore") if gone.any() else r[1]
+        out.append((*r[:1], kept, *r[2:4], None if kept is None else len(kept)))
+    return out
+
+
+def test_short_passages(spark):
+    """Passages of over 50 words go whatever their bytes; 50 words don't, nor does what stands once."""
+    rnd = random.Random(4)
+    prose = lambda n: " ".join(rnd.choice("an er th ou ing st le de ó né".split()) + rnd.choice("abcdefg") for _ in range(n))
+    long, short, edge = prose(55), prose(50), prose(51)
+    texts = [prose(40) + "\n" + long + "\n" + prose(30), prose(35) + " " + long.replace(" ", "\n", 7) + "  " + prose(9), long, prose(20) + " " + short + " " + prose(20), short + " " + prose(60)]
+    texts += [edge, prose(30) + "\t" + edge, prose(300), prose(25) + " " + long[: len(long) // 2], None, "", "one two", " \n "]
+    texts += [prose(10) + " " + long + " " + prose(k) for k in range(20, 26)]  # kinds of one anchor
+    texts += [prose(4) + " " + long + "   " + edge + " " + prose(4)]  # two passages side by side: the space between them stays
+    twice = prose(52) + "."
+    texts += [prose(5) + " " + twice + " " + prose(12) + " " + twice]  # in one document
+    table = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    table += [(7, texts[7], "en", "s", len(texts[7])), (None, edge + " end", None, None, None)]
+    assert max(map(len, (long.encode(), twice.encode()))) < 400
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(map(tuple, stages.repeats_stage(spark, df, "").collect()), key=repr)
+    want = without_passages(table, 400, 51)
+    assert got == sorted(want, key=repr)
+    assert want[2][1] == want[5][1] == want[7][1] == "" and [want[i][1] for i in (3, 4, 8)] == [texts[i] for i in (3, 4, 8)]
+    assert not any(long[5:-5] in (r[1] or "") for r in got) and all(len(without_repeats(table)[i][1]) == len(texts[i]) for i in (0, 1, 2, 5, 6))
