@@ -108,7 +108,9 @@ def matches(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """(bucket, guest, doc_id, text): each bucket holds neighbours in the order of ids, and the next bucket's first as a guest."""
+    """(bucket, guest, doc_id, text): each bucket holds neighbours in the order of ids, and the next bucket's first as a guest.
+
+    Buckets go to partitions of their own: dealt by hash several meet in one, whose task sorts and holds them all."""
     n = partitions_for(docs)
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), at.alias("at"))
@@ -118,9 +120,10 @@ def _in_order(docs: DataFrame) -> DataFrame:
     order = sorted(firsts)
     rows = [(firsts[b], order[k - 1]) for k, b in enumerate(order)]
     guests = F.broadcast(docs.sparkSession.createDataFrame(rows, "at long, before int"))
-    extra = docs.join(guests, "at").select(F.col("before").alias("bucket"), F.lit(1).alias("guest"), "at", "doc_id", "text")
-    both = docs.select("bucket", F.lit(0).alias("guest"), "at", "doc_id", "text").unionByName(extra)
-    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "at", "text")
+    own, guest = F.struct("bucket", F.lit(0).alias("guest")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("guest"))
+    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guest))
+    both = docs.join(guests, "at", "left").select(F.inline(places), "at", "doc_id", "text")  # texts are read once
+    return both.repartitionById(n, "bucket").sortWithinPartitions("bucket", "guest", "at", "text")
 
 
 def fingerprint_with_next(docs: DataFrame) -> DataFrame:

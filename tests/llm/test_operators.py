@@ -125,6 +125,16 @@ def test_fingerprints(docs, empty, by_id):
     assert spotsigs.fingerprint_with_next(empty).count() == 0 and spotsigs.fingerprint_with_next(docs.where("doc_id = 4")).first()["near_next"] == 1
 
 
+def test_fingerprint_buckets_have_partitions_of_their_own(spark):
+    """A task sorts and holds one bucket's texts: none stands idle while another has several. Guests cost no second scan."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    ordered = spotsigs._in_order(docs)
+    assert ordered._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 400") == 1
+    rows = ordered.select(F.spark_partition_id().alias("task"), "bucket", "guest").collect()
+    tasks = collections.Counter(r["task"] for r in rows if not r["guest"])
+    assert len({(r["task"], r["bucket"]) for r in rows}) == len(tasks) == 4 and max(tasks.values()) < 200 and sum(tasks.values()) == 400
+
+
 def test_pruned_comparison():
     """Partitions and early stops never change what a plain Jaccard says."""
     rng = np.random.default_rng(3)
