@@ -53,8 +53,9 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), 400, with_text=False)
-    return found.select("doc_id", *(f"repeats.{n}" for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeats.remove_repeats(docs, 400, with_text=False, words=repeats.PASSAGE, cut_words=False)  # 400 bytes decide what goes
+    return found.select("doc_id", *(f"repeats.{n}" for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes")))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

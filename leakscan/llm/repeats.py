@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from ._common import BYTE_CODE, discard, durable, freed, id_and, mix64, partitions_for, powers, slices, text_buffers, tidy, word_hashes, word_spans
 
 LEAST = 400
+#: Words from which a passage that stands elsewhere is a repeat.
+PASSAGE = 51
 GRAM = 16
 #: Words of a gram that anchors windows of words.
 WORD_GRAM = 8
@@ -386,18 +388,20 @@ def joined_runs(runs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return begin, end
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", with_text: bool = True, words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", with_text: bool = True, words: int = 0, cut_words: bool = True) -> DataFrame:
     """``docs`` with a struct ``into``: n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, the kept text.
 
-    With ``words``, runs of so many words that stand elsewhere go too."""
+    With ``words``, runs of so many words that stand elsewhere go too; without ``cut_words`` they stay and are counted as
+    n_passages (maximal runs) and n_passage_bytes."""
     names, source = docs.columns, keyed(docs)
     found = None
     if words:
         found = unique_word_windows(source, words).select(F.col("k").alias("__k"), F.col("runs").alias("__words"))
         freed(docs)
     alone = unique_windows(source, least).groupBy(F.col("k").alias("__k")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__alone"))
-    schema = id_and(docs, f"`{into}` struct<n_bytes: long, n_removed: long, n_spans: long, kept_sha256: string, kept_text: string>", *names)
-    kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+    counts = ("n_bytes", "n_removed", "n_spans", *(("n_passages", "n_passage_bytes") if words and not cut_words else ()))
+    schema = id_and(docs, f"`{into}` struct<{', '.join(f'{c}: long' for c in counts)}, kept_sha256: string, kept_text: string>", *names)
+    kind = pa.struct([*((c, pa.int64()) for c in counts), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -409,12 +413,15 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", w
                 for k, (found, by_words) in enumerate(zip(b.column(1).to_pylist(), parted)):
                     text = data[int(offsets[k]) : int(offsets[k + 1])]
                     begin, end = covered_bytes(len(text), [(s["begin"], s["end"]) for s in found or ()], least)
+                    passages = [], []
                     if words:
                         alone, (codes, start, stop) = by_words
                         runs = repeated_windows(len(codes) - words + 1, [(s["begin"], s["end"]) for s in alone or ()])
-                        begin, end = joined_runs([*zip(begin, end), *((int(start[i]), int(stop[j + words - 2])) for i, j in runs)])
+                        passages = joined_runs([(int(start[i]), int(stop[j + words - 2])) for i, j in runs])
+                        if cut_words:
+                            begin, end = joined_runs([*zip(begin, end), *zip(*passages)])
                     kept = b"".join(text[i:j] for i, j in zip([0, *end], [*begin, len(text)]))
-                    out.append({"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(begin), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None})
+                    out.append({"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(begin), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None, "n_passages": len(passages[0]), "n_passage_bytes": sum(passages[1]) - sum(passages[0])})
                 yield pa.RecordBatch.from_arrays([*b.columns[3 if words else 2 :], pa.array(out, kind)], schema.names)
 
     joined, lists = source.join(alone, "__k", "left"), ["__alone"]

@@ -16,8 +16,7 @@ from . import jaccard, packing, quality, repeats, toxicity
 from .queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Words from which a passage that stands elsewhere is a repeat.
-PASSAGE = 51
+PASSAGE = repeats.PASSAGE
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -462,6 +462,25 @@ def test_repeats(docs, empty, by_id, monkeypatch, group):
     assert repeats.remove_repeats(empty, least).count() == 0
 
 
+def test_short_passages_are_counted_not_removed(spark, tmp_path):
+    """A shared run of 51 words under 400 bytes is counted whatever parts its words; 50 words are not; 400 bytes decide what goes."""
+    from leakscan.llm import queries
+
+    rnd = random.Random(9)
+    words = lambda n: ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(n)]
+    passage, short = words(51), words(50)
+    rows = [[*words(20), *passage, *words(9)], [*passage, *words(30)], [*words(4), *short, *words(8)], [*words(7), *short], words(90), [], words(3)]
+    rows = [" ".join(r) for r in rows]
+    rows[1] = rows[1].replace(" ", "\t\n", 20)
+    rows += [long := " ".join(words(100)), "x " + long, None]
+    spark.createDataFrame([*enumerate(rows)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert len(" ".join(passage)) < 400 and [got[i]["n_removed"] for i in range(10)] == [0] * 7 + [len(long)] * 2 + [0]
+    assert [got[i]["n_passages"] for i in range(10)] == [1, 1, 0, 0, 0, 0, 0, 1, 1, 0]
+    assert [got[i]["n_passage_bytes"] for i in (0, 1, 7, 8)] == [len(" ".join(passage)), len(" ".join(passage)) + 20, len(long), len(long)]
+    assert all(got[i]["kept_sha256"] == hashlib.sha256((rows[i] or "").encode()).hexdigest() for i in (0, 1, 2, 3, 4, 5, 6, 9))
+
+
 def test_maximal_repeats():
     t = [b"xabcabcy", b"zabcabcw"]
     found = {(n, tuple(sorted(at))) for n, at in repeats.maximal_repeats(t, [6, 6], 3)}
