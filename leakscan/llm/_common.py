@@ -35,10 +35,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/leakscan-{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives executor loss."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+#: With it, Spark deletes an execution's shuffle files when the execution ends.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def durable(df: DataFrame, name: str, swept: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives executor loss.
+
+    With ``swept``, the shuffle files of the write go when it ends, not whenever the driver collects its garbage."""
+    path, conf = shared_path(df.sparkSession, name), df.sparkSession.conf
+    had = conf.get(SWEEP, None)
+    if swept:
+        conf.set(SWEEP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if swept:
+            conf.unset(SWEEP) if had is None else conf.set(SWEEP, had)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTE_CODE, discard, durable, freed, id_and, mix64, partitions_for, powers, slices, text_buffers, tidy, word_hashes, word_spans
+from ._common import BYTE_CODE, discard, durable, id_and, mix64, partitions_for, powers, slices, text_buffers, tidy, word_hashes, word_spans
 
 LEAST = 400
 #: Words from which a passage that stands elsewhere is a repeat.
@@ -296,29 +296,29 @@ def _digest(data: bytes, a: int, b: int) -> int:
 
 def _with_kinds(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` (a stored table) with ``kinds``: how many there are of each anchor, null for one."""
-    sizes = durable(rows.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), name)
+    sizes = durable(rows.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), name, swept=True)
     return rows.join(sizes, "anchor", "left")
 
 
 def segment_kinds(docs: DataFrame, least: int, words: bool = False) -> DataFrame:
     """The different segments of the keyed ``docs``: (anchor, segment, n, k, first, windows, at, kinds)."""
     cuts = text_segments(docs, least, words).groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("k", "first", "windows", "at")).alias("one"))
-    return _with_kinds(durable(cuts.select("anchor", "segment", "n", "one.*"), "kinds"), "sizes")
+    return _with_kinds(durable(cuts.select("anchor", "segment", "n", "one.*"), "kinds", swept=True), "sizes")
 
 
 def array_groups(docs: DataFrame, kinds: DataFrame, least: int) -> Iterator[tuple[DataFrame, DataFrame]]:
     """Round by round: the rows that are alone in their group, and those of groups that fit one suffix array, in order."""
     alone = kinds.where("kinds is null").select("anchor", "segment", "n", "k", "first", "windows")
-    rows = durable(_span_bytes(docs, kinds.where("kinds > 1"), least), "bytes")
+    rows = durable(_span_bytes(docs, kinds.where("kinds > 1"), least), "bytes", swept=True)
     for size in (*BLOCKS, 0):
         small = rows.where(F.col("kinds") <= GROUP).select("anchor", "segment", "n", "k", "first", "bytes")
         yield alone, small.repartition(partitions_for(docs), "anchor").sortWithinPartitions("anchor")
         large = rows.where(F.col("kinds") > GROUP)
         if not size or not large.take(1):
             return
-        counted = _with_kinds(durable(_blocks(large, size, least), "blocks"), "sizes")
+        counted = _with_kinds(durable(_blocks(large, size, least), "blocks", swept=True), "sizes")
         alone = counted.where("kinds is null").select("anchor", "segment", "n", "k", "first", (F.length("bytes") - (least - 1)).alias("windows"))
-        rows = durable(counted.where("kinds > 1"), "bytes")
+        rows = durable(counted.where("kinds > 1"), "bytes", swept=True)
 
 
 def unique_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -365,7 +365,7 @@ def unique_word_windows(docs: DataFrame, least: int) -> DataFrame:
                 lists = pa.StructArray.from_arrays([begin[at], end[np.append(at[1:], len(end)) - 1]], ["begin", "end"])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.searchsorted(at, offsets - offsets[0]).astype(np.int32), lists)], ["k", "runs"])
 
-    stored = durable(each.mapInArrow(tidy(merged), "k long, runs array<struct<begin: long, end: long>>"), "words")
+    stored = durable(each.mapInArrow(tidy(merged), "k long, runs array<struct<begin: long, end: long>>"), "words", swept=True)
     discard(kinds)
     return stored
 
@@ -397,7 +397,6 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, into: str = "repeats", w
     found = None
     if words:
         found = unique_word_windows(source, words).select(F.col("k").alias("__k"), F.col("runs").alias("__words"))
-        freed(docs)
     alone = unique_windows(source, least).groupBy(F.col("k").alias("__k")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__alone"))
     counts = ("n_bytes", "n_removed", "n_spans", *(("n_passages", "n_passage_bytes") if words and not cut_words else ()))
     schema = id_and(docs, f"`{into}` struct<{', '.join(f'{c}: long' for c in counts)}, kept_sha256: string, kept_text: string>", *names)

@@ -5,7 +5,9 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -481,6 +483,41 @@ def test_short_passages_are_counted_not_removed(spark, tmp_path):
     assert all(got[i]["kept_sha256"] == hashlib.sha256((rows[i] or "").encode()).hexdigest() for i in (0, 1, 2, 3, 4, 5, 6, 9))
 
 
+def test_repeats_leave_no_shuffle_files(spark, monkeypatch):
+    """The shuffle files of each stored table go when it is written, without a collection of the driver's garbage; the session's setting stays as it was."""
+    from leakscan.llm import _common
+
+    folders = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in Path(d).glob("*/shuffle_*.data")}
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choices("abcdefghij ", k=n))
+    passage = text(200)
+    docs = spark.createDataFrame([(i, text(50) + passage + text(50)) for i in range(20)], "doc_id long, text string").repartition(3)
+    stored, durable, made = [], _common.durable, files()
+
+    def watched(df, name, *args, **kw):
+        stored.append((name, durable(df, name, *args, **kw)))
+        for _ in range(50):  # executors delete on their own time
+            if not (left := files() - made):
+                break
+            time.sleep(0.1)
+        assert not left, f"{name} leaves {len(left)} files"
+        return stored[-1][1]
+
+    monkeypatch.setattr(repeats, "durable", watched)
+    monkeypatch.setattr(repeats, "GROUP", 3)
+    for had in (None, "false"):
+        if had:
+            spark.conf.set(_common.SWEEP, had)
+        try:
+            found = repeats.remove_repeats(docs, 60, words=5)
+            assert spark.conf.get(_common.SWEEP, None) == had
+        finally:
+            spark.conf.unset(_common.SWEEP)
+    assert {name for name, _ in stored} == {"kinds", "sizes", "words", "bytes", "blocks"}
+    assert all(r["n_removed"] >= len(passage) for r in found.select("repeats.*").collect())
+
+
 def test_maximal_repeats():
     t = [b"xabcabcy", b"zabcabcw"]
     found = {(n, tuple(sorted(at))) for n, at in repeats.maximal_repeats(t, [6, 6], 3)}
