@@ -118,4 +118,4 @@ def public_key_marker(line: Column) -> Column:
     t = ascii_trim(line)
     pem = lambda word: t.rlike(rf"(?is)^-----{word} (?=.*PUBLIC KEY)(?!.*PRIVATE).*----\z")
     pgp = lambda word: F.startswith(F.upper(t), F.lit(f"-----{word} PGP PUBLIC KEY BLOCK-----"))
-    return F.when(pem("BEGIN") | pgp("BEGIN"), "B").when(pem("END") | pgp("END"), "E")
+    return F.when(F.startswith(t, F.lit("-----")), F.when(pem("BEGIN") | pgp("BEGIN"), "B").when(pem("END") | pgp("END"), "E"))

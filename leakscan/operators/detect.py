@@ -56,11 +56,21 @@ def keyword_gate(rules: CompiledRules):
 
 
 def keyword_candidates(line: Column, rules: CompiledRules) -> Column:
-    """The same as an expression of built-in functions, for streams and comparison."""
+    """The same as an expression of built-in functions, for streams and comparison.
+
+    The line is lower-cased once and meets one constant table of keywords; a branch for each keyword would make an expression
+    too large to be compiled, which lower-cases the line anew in every branch."""
+    if not rules.keywords:
+        return F.lit(None).cast("array<int>")
     low = F.translate(line, string.ascii_uppercase, string.ascii_lowercase)
-    per = [F.when(F.contains(low, F.lit(k)), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<int>")) for k, v in rules.keywords.items()]
-    found = F.array_sort(F.array_distinct(F.flatten(F.array(*per)))) if per else F.array().cast("array<int>")
-    return F.when(F.size(found) > 0, found)
+    index = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*map(F.lit, v)).alias("rules")) for k, v in rules.keywords.items()))
+
+    def rules_of(low: Column) -> Column:
+        held = F.filter(index, lambda e: F.contains(low, e["keyword"]))
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(held, lambda e: e["rules"]))))
+
+    found = F.transform(F.array(low), rules_of)  # of one element: lambdas bind what is used more than once
+    return F.get(F.filter(found, lambda r: F.size(r) > 0), F.lit(0))
 
 
 def in_public_key_block(file_key: list[str]) -> Column:

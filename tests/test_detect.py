@@ -1,6 +1,7 @@
 """Detection, table-driven: (path, line) and the rules expected to report it."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from leakscan.config import ProjectConfig, RuleAllow, build_context
 from leakscan.operators.detect import detect
@@ -88,3 +89,17 @@ def test_every_rule(spark):
     met = {rule for i, rule, _ in rows if i % 4 < 3 and rule in {r for r, _ in found.get(i, [])}}
     assert met == {r.id for r in default_rules()}
     assert not [rows[i] for i in found if i % 4 == 3]
+
+
+def test_native_gate_stays_small(spark):
+    """The gate of built-in functions lower-cases a line once, and finds what the other gate finds."""
+    from leakscan.operators.detect import keyword_candidates, keyword_gate
+    from leakscan.plans.samples import sample_lines
+
+    rules = build_context(spark, detect_public_keys=True).rules
+    native = keyword_candidates(F.col("line"), rules)
+    assert str(native).count("translate(") == 1
+    lines = spark.createDataFrame([(x,) for _, _, x in sample_lines()] + [(c[1].upper(),) for c in CASES] + [(None,), ("KEYİ",)], "line string")
+    rows = lines.select("line", native.alias("native"), keyword_gate(rules)("line").alias("gate")).collect()
+    assert all(r["native"] == r["gate"] for r in rows) and {r["native"] is None for r in rows} == {True, False}
+    assert lines.select(keyword_candidates(F.col("line"), rules.without(tuple(r.id for r in rules.rules))).alias("none")).where("none is not null").count() == 0
