@@ -19,7 +19,7 @@ from .operators.detect import detect
 from .operators.search import search
 from .rules import RuleError
 from .sources import git as G
-from .sources.diff import added_lines, diff_lines, file_blocks, files
+from .sources.diff import added_lines, diff_files
 from .sources.text import lines_from_files, lines_of, read_files
 
 MAX_STDIN = 1 << 20
@@ -72,7 +72,7 @@ def scan(spark: SparkSession, o: argparse.Namespace) -> int:
     if not diffs.take(1):
         return 0
     ctx = context(spark, o, G.repo_root(o.root))
-    blocked = H.blocked_files(files(file_blocks(diff_lines(diffs))))
+    blocked = H.blocked_files(diff_files(diffs))
     lines = H.without_blocked(added_lines(diffs))
     return int(show(H.report_rows(detect(lines, ctx, ["diff_id", "file_ord"], ordered=True), blocked), "path", "line", "rule_id", "shown") > 0)
 

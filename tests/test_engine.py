@@ -1,5 +1,6 @@
 """Sources, configuration, search, history and scalar functions; registered queries against DuckDB."""
 
+import random
 import subprocess
 
 import duckdb
@@ -15,7 +16,7 @@ from leakscan.operators.search import search
 from leakscan.plans import queries as Q
 from leakscan.rules import RuleError
 from leakscan.sources import git as G
-from leakscan.sources.diff import added_lines, diff_lines, file_blocks, files
+from leakscan.sources.diff import added_lines, diff_files, diff_lines, file_blocks, files
 from leakscan.sources.text import lines_from_files, lines_from_text, read_files
 
 DATA = "/root/testdata/sf0.001"
@@ -71,6 +72,20 @@ def test_diff(spark):
     assert got == {"moved": (True, False, False), "gone": (False, True, False), "img": (False, False, True)}
 
 
+def test_diffs_are_cut_where_they_stand(spark):
+    """Diffs in one row each are numbered without a shuffle, as the windows over their lines number them."""
+    pool = [*DIFF.split("\n"), "+++ b/new\r", "diff --git a/q b/é b/ü\r", "diff --git x", "rename to b", "GIT binary patch", "@@ -1 +x @@", "@@@ +07", "+é", "", "index 1", "x\u2028 b/y", "diff --git a/k b/l\u2028m"]
+    rnd = random.Random(1)
+    rows = [(k, "\n".join(rnd.choices(pool, k=rnd.randrange(60)))) for k in range(400)] + [(400, DIFF * 3), (401, None), (402, "")]
+    df = spark.createDataFrame(rows, "diff_id int, diff string")
+    blocks = file_blocks(diff_lines(df))
+    of = files(blocks)
+    lines = blocks.where("kind = 'added'").join(of.where("not is_deleted and not is_binary"), ["diff_id", "file_ord"]).select("diff_id", "file_ord", "path", "line_no", F.substring("raw", 2, 1 << 30).alias("line"))
+    for new, old in ((diff_files(df), of), (added_lines(df), lines)):
+        assert new.dtypes == old.dtypes and sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
+        assert "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"x\r\n\n\r\ny")
     (tmp_path / "b.bin").write_bytes(b"\0x")
