@@ -29,7 +29,8 @@ ORDER = ["path", "line_no", "rule_ord", "match_ord"]
 def keyword_gate(rules: CompiledRules):
     """An Arrow function: the numbers of the rules one of whose keywords stands in the line, ASCII case aside.
 
-    One linear-time pass of all keywords picks the lines that have any; each keyword is then looked for in those only."""
+    One linear-time pass of all keywords picks the lines that have any; each keyword that stands in the bytes of these is then
+    looked for line by line."""
     index = {k: np.array(v, np.int32) for k, v in rules.keywords.items()}
     special = b"\\.+*?()|[]{}^$#&-~"
     pattern = b"|".join(b"".join(b"\\" + bytes([c]) if c in special else bytes([c]) for c in k.encode()) for k in index).decode()
@@ -38,7 +39,10 @@ def keyword_gate(rules: CompiledRules):
         n = len(low)
         at = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(low, pattern), False)).to_numpy() if index else np.zeros(0, np.int64)
         some, found = low.take(pa.array(at)), []
+        data = b"".join(bytes(x) for x in some.buffers()[2:] if x is not None)  # a keyword that isn't in all of it is in no line
         for k, of in index.items() if len(at) else ():
+            if data.find(k.encode()) < 0:
+                continue
             line = at[pc.indices_nonzero(pc.match_substring(some, k)).to_numpy()].astype(np.int64)
             if len(line):
                 found.append((np.repeat(line, len(of)) << 32 | np.tile(of, len(line))))

@@ -103,3 +103,18 @@ def test_native_gate_stays_small(spark):
     rows = lines.select("line", native.alias("native"), keyword_gate(rules)("line").alias("gate")).collect()
     assert all(r["native"] == r["gate"] for r in rows) and {r["native"] is None for r in rows} == {True, False}
     assert lines.select(keyword_candidates(F.col("line"), rules.without(tuple(r.id for r in rules.rules))).alias("none")).where("none is not null").count() == 0
+
+
+def test_gate_looks_for_keywords_that_are_there(spark, monkeypatch):
+    """Lines are searched one by one only for keywords that stand in one of them."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from leakscan.operators.detect import keyword_gate
+
+    rules, asked, search = build_context(spark).rules, [], pc.match_substring
+    monkeypatch.setattr(pc, "match_substring", lambda lines, k: asked.append(k) or search(lines, k))
+    found = [x for part in keyword_gate(rules).func(iter([pa.array(["x", None, "AKIA ghp_", "", "akia"]), pa.array(["y"]), pa.array([], pa.string())])) for x in part.to_pylist()]
+    assert {"akia", "ghp_"} <= set(asked) and len(asked) < 6
+    of = {k: sorted(v) for k, v in rules.keywords.items()}
+    assert found == [None, None, sorted({*of["akia"], *of["ghp_"]}), None, of["akia"], None]
