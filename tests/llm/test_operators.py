@@ -580,3 +580,19 @@ def test_parts_are_looked_up_once():
     assert asked == {"▁ab": 1, "▁a": 1, "▁b": 1} and m.known["▁a"][1] == -2.25
     for text, rest in (("\0", -1.0), ("\0a", -2.5), ("a\0b", -4.0), ("\0\0", m.unknown - 1.0)):
         assert m.encode(text)[1] == m.unknown + rest
+
+
+def test_join_leaves_no_lists_and_pairs(spark):
+    """What op6 has done with is deleted while it runs: lists, pairs, and the labels of former rounds."""
+    from pathlib import Path
+
+    from leakscan.llm import jaccard
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    kept = lambda: {p.name for p in shared.glob("leakscan-*") if p.name.split("-")[1] in ("lists", "pairs", "candidates", "oriented", "edges", "low")}
+    before = kept()
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join([*words[:i], f"e{i}", *words[i:]])) for i in range(12)], "doc_id long, text string")
+    out = jaccard.link_components(df)
+    assert kept() == before
+    assert {r["component_id"] for r in out.collect()} == {0}
