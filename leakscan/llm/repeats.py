@@ -3,10 +3,10 @@
 Each window of ``least`` bytes is dealt to an anchor: of the 16-byte grams in it, the one with the least hash (the last of
 equals). Equal windows have equal anchors, so all windows of an anchor form one segment of text and only segments with
 equal anchors need comparing. Segments that are equal as a whole (most of what copies and shared passages give) are
-settled by an aggregate. Of the others one of each kind goes to its anchor's group, where an enhanced suffix array of the
-group's windows is built and scanned with a stack: each interval of common prefixes of ``least`` bytes or more whose
-left extensions differ is a maximal repeat, and all its occurrences are covered. A group with more than ``GROUP``
-different segments (ends of a passage that very many documents share) is dealt again: its segments are cut into blocks of
+settled by an aggregate. Of the others one of each kind goes to its anchor's group. Equal windows have their anchor at one
+distance, so a group needs no array of all its windows: one enhanced suffix array has what follows the anchors, another what
+stands before them, read backwards, and the least common prefixes between two segments' places in both give the run of
+windows that the two share. A group with more than ``GROUP`` different segments (ends of a passage that very many documents share) is dealt again: its segments are cut into blocks of
 neighbouring windows, and the bytes that all windows of a block share, together with the anchor, are the key of the next
 groups, which go the same way; blocks get smaller until one is a single window, so each window is in a group that fits.
 A segment gives a bounded number of blocks, whatever the size of its group. What goes back to the documents is the
@@ -43,24 +43,30 @@ PASSAGE = 51
 GRAM = 16
 #: Words of a gram that anchors windows of words.
 WORD_GRAM = 8
-#: Different segments of a group up to which its suffix array is built in one task (about 0.1 MB each while sorting).
+#: Different segments of a group up to which its suffix arrays are built and its pairs compared in one task.
 GROUP = 1024
 #: Windows of a block when a larger group is dealt again, then again.
 BLOCKS = (32, 8, 1)
 STEP = 0x9E3779B97F4A7C15 | 1
+STEP_INV = pow(STEP, -1, 1 << 64)
 #: Low bits of a sort key that hold a place; the rest of the key is the hash's high part. Spark's strings are shorter than 2**31.
 PLACE_BITS = 31
 
 
-def window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+def code_sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the codes (of bytes or words) before each place, each times its place's power, and the powers' inverses."""
+    size = len(codes)
+    total = np.zeros(size + 1, np.uint64)
+    np.cumsum(codes * powers(STEP, size + 1)[:size], out=total[1:])
+    return total, powers(STEP_INV, size + 1)
+
+
+def window_hashes(codes: np.ndarray, n: int, sums: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The hash of the ``n`` codes (of bytes or words) from each place that has as many."""
     size = len(codes)
     if size < n:
         return np.zeros(0, np.uint64)
-    p = powers(STEP, size + 1)
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(codes * p[:size], out=total[1:])
-    inverse = powers(pow(STEP, -1, 1 << 64), size + 1)
+    total, inverse = sums or code_sums(codes)
     return mix64((total[n:] - total[:-n]) * inverse[: size - n + 1])
 
 
@@ -79,14 +85,11 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
 
 def segments(codes: np.ndarray, least: int, gram: int = GRAM):
     """For a text's codes: each anchor's hash, its segment's first window, number of windows, place of the anchor in it, and the segment's hash."""
-    grams = window_hashes(codes, gram)
+    total, inverse = sums = code_sums(codes)
+    grams = window_hashes(codes, gram, sums)
     place = sliding_least(grams, least - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     count = np.diff(np.append(first, len(place)))
-    size = len(codes)
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(codes * powers(STEP, size + 1)[:size], out=total[1:])
-    inverse = powers(pow(STEP, -1, 1 << 64), size + 1)
     whole = mix64((total[first + count + least - 1] - total[first]) * inverse[first] ^ mix64(count.astype(np.uint64)))
     offset = place[first] - first
     return grams[place[first]], first, count, offset, mix64(whole ^ (offset.astype(np.uint64) * np.uint64(STEP)))
@@ -160,7 +163,7 @@ def common_prefixes(texts: list[bytes], order: list[tuple[int, int]], least: int
 
 
 def maximal_repeats(texts: list[bytes], starts: list[int], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, occurrences) of each maximal repeat of ``least`` bytes or more among the texts' suffixes.
+    """(length, occurrences) of each maximal repeat of ``least`` bytes or more among the texts' suffixes, for texts without anchors.
 
     A stack scan finds the intervals of the common-prefix tree; an interval counts if the bytes on the left of its
     suffixes are not all the same (a suffix at a text's start differs from all others)."""
@@ -184,54 +187,108 @@ def maximal_repeats(texts: list[bytes], starts: list[int], least: int) -> list[t
     return found
 
 
+def prefix_array(texts: list[bytes], group: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of each group in order, and how many bytes each has in common with the one before (-1: it is its group's first)."""
+    order = sorted(range(len(texts)), key=lambda i: (group[i], texts[i]))
+    lcp = np.full(len(order), -1)
+    for k, (a, b) in enumerate(zip(order, order[1:]), 1):
+        if group[a] == group[b]:
+            n = min(len(texts[a]), len(texts[b]))
+            differ = int.from_bytes(texts[a][:n], "big") ^ int.from_bytes(texts[b][:n], "big")
+            lcp[k] = n - (differ.bit_length() + 7) // 8
+    return np.array(order), lcp
+
+
+def anchored_repeats(texts: list[bytes], at: np.ndarray, group: np.ndarray, least: int) -> np.ndarray:
+    """For each text and distance: does the window that begins so far before the text's anchor (its byte ``at``) stand in
+    another text of its group, as far before the anchor there? Windows of equal bytes always do. Groups are numbered upwards.
+
+    What follows the anchors makes one suffix array for each group, what stands before them, read backwards, another. The
+    least common prefix between two places of an array is what the texts there have in common on that side, so the two
+    give the run of distances at which a pair shares its windows."""
+    numbers, most = group.tolist(), int(np.bincount(group - group[0]).max())
+    ahead, right = prefix_array([t[a:] for t, a in zip(texts, at.tolist())], numbers)
+    back, left = prefix_array([t[:a][::-1] for t, a in zip(texts, at.tolist())], numbers)
+    rank = np.empty_like(back)
+    rank[back] = np.arange(len(back))
+    least_left, log = [left], np.zeros(most + 1, np.int64)  # row r: the least of 2**r neighbours
+    while 2 ** len(least_left) < most:
+        half, low = 2 ** (len(least_left) - 1), least_left[-1].copy()
+        low[:-half] = np.minimum(low[:-half], least_left[-1][half:])
+        least_left.append(low)
+        log[2 * half :] += 1
+    least_left, right = np.stack(least_left), np.append(right, -1)
+    width = int(at.max()) + 2
+    change = np.zeros(len(texts) * width, np.int32)
+    place, low, wanted = np.arange(len(texts)), np.full(len(texts), least), least - at[ahead]
+    for step in range(1, most):
+        low = np.minimum(low, right[np.minimum(place + step, len(texts))])
+        near = low >= wanted[place]
+        place, low = place[near], low[near]
+        if not len(place):
+            break
+        one, other = ahead[place], ahead[place + step]
+        a, z = np.minimum(rank[one], rank[other]) + 1, np.maximum(rank[one], rank[other])
+        r = log[z - a + 1]
+        common = np.minimum(least_left[r, a], least_left[r, z - (1 << r) + 1])
+        found = np.flatnonzero(common >= least - low)
+        for t in (one[found], other[found]):
+            np.add.at(change, t * width + (least - low[found]), 1)
+            np.add.at(change, t * width + common[found] + 1, -1)
+    return np.cumsum(change.reshape(-1, width), axis=1)[:, :-1] > 0
+
+
 def _group_unique(least: int):
-    """For rows (anchor, segment, n, k, first, bytes) sorted by anchor: runs (k, begin, end) of windows that no other
-    segment of the anchor and no other place of the same segment has."""
-
-    def settle(rows: list[tuple]) -> list[tuple]:
-        rows = list({r[1]: r for r in rows}.values())  # a repeated row of the input gives its segments twice
-        texts, starts = [r[5] for r in rows], [len(r[5]) - least + 1 for r in rows]
-        alone = [np.ones(n, bool) for n in starts]
-        for length, at in maximal_repeats(texts, starts, least):
-            for t, i in at:
-                alone[t][i : i + length - least + 1] = False
-        out = []
-        for r, free in zip(rows, alone):
-            if r[2] == 1:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
-                out += [(r[3], r[4] + int(a), r[4] + int(z)) for a, z in zip(edge[::2], edge[1::2])]
-        return out
+    """For rows (anchor, segment, n, k, first, at, bytes) sorted by anchor: runs (k, begin, end) of windows that no other
+    segment of the anchor has. No window is twice in a segment: both would have its anchor at one distance."""
+
+    def settle(b: pa.RecordBatch) -> pa.RecordBatch:
+        anchor, _, n, k, first, at = (c.to_numpy() for c in b.columns[:6])
+        texts = b.column(6).to_pylist()
+        shared = anchored_repeats(texts, at, np.cumsum(np.diff(anchor, prepend=anchor[:1]) != 0), least)
+        windows = np.array([len(t) for t in texts]) - (least - 1)
+        far = np.arange(shared.shape[1])
+        alone = ~shared & (far <= at[:, None]) & (far > (at - windows)[:, None]) & (n == 1)[:, None]
+        edge = np.diff(np.pad(alone.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, near = np.nonzero(edge == 1)
+        far = np.nonzero(edge == -1)[1] - 1
+        anchors = first[row] + at[row]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k[row], anchors - far, anchors - near + 1)], ["k", "begin", "end"])
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for rows in _groups(batches):
-            out += settle(rows)
-            if len(out) >= 8192:
-                yield _runs(out)
-                out = []
-        if out:
-            yield _runs(out)
+        for b in _whole_groups(batches):
+            anchor = b.column(0).to_numpy()
+            starts = np.append(np.flatnonzero(np.diff(anchor, prepend=anchor[:1]) != 0), len(anchor))
+            starts = np.concatenate([[0], starts])
+            for i, j in slices(starts, GROUP):
+                yield settle(b.slice(starts[i], starts[j] - starts[i]))
 
     return unique
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Runs of rows with equal first columns; a run can go on in the next batch."""
-    held: list[tuple] = []
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, cut anew so that rows with equal values are in one; of rows that are also equal in
+    the second, one is left (a repeated row of the input gives its segments twice)."""
+    held = None
     for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns)):
-            if held and held[0][0] != r[0]:
-                yield held
-                held = []
-            held.append(r)
-    if held:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.concat_batches([held, b])
+        anchor, segment = (c.to_numpy() for c in b.columns[:2])
+        order = np.lexsort((segment, anchor))
+        new = np.append(True, (np.diff(anchor[order]) != 0) | (np.diff(segment[order]) != 0))
+        if not new.all():
+            b = b.take(pa.array(np.sort(order[new])))
+            anchor = b.column(0).to_numpy()
+        cut = int(np.searchsorted(anchor, anchor[-1]))
+        if cut:
+            yield b.slice(0, cut)
+        held = b.slice(cut)
+    if held is not None:
         yield held
 
 
-def _runs(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["k", "begin", "end"])
-
-
 def covered_bytes(size: int, alone: list[tuple[int, int]], least: int) -> tuple[list[int], list[int]]:
     """Maximal runs of bytes under windows outside the sorted runs ``alone``; runs that touch are one."""
     begin, end, at, last = [], [], 0, size - least + 1
@@ -311,7 +368,7 @@ def array_groups(docs: DataFrame, kinds: DataFrame, least: int) -> Iterator[tupl
     alone = kinds.where("kinds is null").select("anchor", "segment", "n", "k", "first", "windows")
     rows = durable(_span_bytes(docs, kinds.where("kinds > 1"), least), "bytes", swept=True)
     for size in (*BLOCKS, 0):
-        small = rows.where(F.col("kinds") <= GROUP).select("anchor", "segment", "n", "k", "first", "bytes")
+        small = rows.where(F.col("kinds") <= GROUP).select("anchor", "segment", "n", "k", "first", "at", "bytes")
         yield alone, small.repartition(partitions_for(docs), "anchor").sortWithinPartitions("anchor")
         large = rows.where(F.col("kinds") > GROUP)
         if not size or not large.take(1):

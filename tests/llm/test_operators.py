@@ -524,6 +524,36 @@ def test_maximal_repeats():
     assert (6, ((0, 1), (1, 1))) in found and (3, ((0, 1), (0, 4), (1, 1), (1, 4))) in found and len(found) == 2
 
 
+def test_groups_of_segments_sort_two_strings_a_segment(monkeypatch):
+    """Windows met once in groups of segments are those of brute force, wherever batches end and rows recur; suffix arrays have two entries a segment, not one a window."""
+    import pyarrow as pa
+
+    arrays, sizes = repeats.prefix_array, []
+    monkeypatch.setattr(repeats, "prefix_array", lambda texts, group: sizes.append(len(texts)) or arrays(texts, group))
+    rnd, least, rows = random.Random(6), 100, []
+    for group, kinds in enumerate((2, 1, 3, 150, 2, 40)):
+        core = bytes(rnd.choices(b"abcd", k=2 * least))
+        for _ in range(kinds):
+            at, z, text = rnd.randint(40, least - 16), rnd.randint(70, least), bytearray(core)
+            for place in rnd.choices([*range(100), *range(116, 200)], k=rnd.choice([0, 1, 4])):
+                text[place] = rnd.choice(b"efgh")
+            rows.append((group, len(rows), rnd.choice([1, 1, 2]), len(rows), rnd.randrange(9), at, bytes(text[100 - at : 100 + z])))
+    rows = sorted([*rows, rows[1], rows[3], rows[-1]])
+    seen = {(g, at - j, x[j : j + least]): set() for g, _, _, _, _, at, x in rows for j in range(len(x) - least + 1)}
+    for g, s, _, _, _, at, x in rows:
+        for j in range(len(x) - least + 1):
+            seen[g, at - j, x[j : j + least]].add(s)
+    want = {(k, first + j) for g, _, n, k, first, at, x in rows if n == 1 for j in range(len(x) - least + 1) if len(seen[g, at - j, x[j : j + least]]) == 1}
+    names = ["anchor", "segment", "n", "k", "first", "at", "bytes"]
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size])], names) for i in range(0, len(rows), size)]
+        sizes.clear()
+        got = [r for b in repeats._group_unique(least)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert sum(sizes) == 2 * len(set(rows))
+        windows = [(k, j) for k, a, z in got for j in range(a, z)]
+        assert len(windows) == len(set(windows)) and set(windows) == want
+
+
 def test_quality(docs, empty, by_id, spark):
     rules = quality.DecisionList(((quality.Test("symbols_per_word", True, 0.2),), (quality.Test("n_words", False, 20), quality.Test("mean_word", True, 8))))
     got = {r["doc_id"]: r for r in quality.judge(docs, rules).select("doc_id", "quality.*").collect()}
